@@ -271,10 +271,14 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     carried = F.struct(*([F.col(c) for c in carry] or [F.lit(None).cast("int").alias("none")])).alias("carried")
     rows = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), carried)
     kind = rows.schema["doc"].dataType.simpleString()
-    earlier = Window.partitionBy("doc").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
+    # rows are brought together by a hash of the key, which is never null; keys that share one only share a numbering
+    rows = rows.withColumn("home", F.xxhash64("doc"))
+    earlier = Window.partitionBy("home").orderBy("doc", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("base", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(earlier), F.lit(0).cast("long")))
 
-    groups = rows.select("doc", "text", "base").mapInArrow(_emit_groups, f"anchor long, name long, doc {kind}, first long, more short, shared boolean")
+    # carried columns go along everywhere, else each step would shuffle texts anew without them
+    along = ["carried"] if carry else []
+    groups = rows.select("doc", "text", "base", *along).mapInArrow(_emit_groups, f"anchor long, name long, doc {kind}, first long, more short, shared boolean")
     met = groups.repartition("anchor")
     least = F.min(F.when(F.col("first") >= 0, F.struct("doc", "first", "more"))).alias("least")
     same = met.groupBy("anchor", "name").agg(least, F.max("shared").alias("shared"))
@@ -282,16 +286,16 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     firsts = (
         same.withColumn("refine", (F.count(F.lit(1)).over(of_anchor) > 1) | F.max("shared").over(of_anchor))
         .where(F.col("least").isNotNull())
-        .select("least.doc", _place(F.col("least.first"), F.col("least.more"), F.col("refine")).alias("place"))
+        .select(F.xxhash64("least.doc").alias("home"), _place(F.col("least.first"), F.col("least.more"), F.col("refine")).alias("place"))
     )
-    places = firsts.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    places = firsts.groupBy("home").agg(F.collect_list("place").alias("places"))
 
-    placed = rows.join(places, rows["doc"].eqNullSafe(places["doc"]), "left").select(rows["doc"], "text", "base", "places", "carried")
-    refined = placed.where(F.exists("places", lambda p: p.bitwiseAND(F.lit(1)) == 1)).select("doc", "text", "base", "places")
+    placed = rows.join(places, "home", "left")
+    refined = placed.where(F.exists("places", lambda p: p.bitwiseAND(F.lit(1)) == 1)).select("doc", "text", "base", "places", *along)
     strings = refined.mapInArrow(_emit_strings, f"k1 long, k2 long, doc {kind}, first long")
-    kept = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc", "first")).alias("least")).select("least.*")
-    singles = kept.groupBy("doc").agg(F.collect_list("first").alias("singles"))
+    kept = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc", "first")).alias("least")).select(F.xxhash64("least.doc").alias("home"), "least.first")
+    singles = kept.groupBy("home").agg(F.collect_list("first").alias("singles"))
 
-    joined = placed.join(singles, placed["doc"].eqNullSafe(singles["doc"]), "left").select(placed["doc"], "text", "base", "places", "singles", "carried")
+    joined = placed.join(singles, "home", "left").select("doc", "text", "base", "places", "singles", "carried")
     fields = joined.schema["carried"].dataType.simpleString()
     return joined.mapInArrow(_cut_texts, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, carried {fields}")
