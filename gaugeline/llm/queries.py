@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import mixing, sharding, simhash, suffix_dedup, tiff, token_count
+from gaugeline.llm import mixing, quality, sharding, simhash, suffix_dedup, tiff, token_count, toxicity
 from gaugeline.llm.common import documents
 
 
@@ -40,6 +40,12 @@ def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), count=3)
+    return quality.scores(docs, model).select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(documents(spark, sf_dir))
 
@@ -48,14 +54,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scores(docs, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_simhash": op2_simhash,
         "op5_mix_sources": op5_mix_sources,
         "op6_tiff_pages": op6_tiff_pages,
+        "op7_ordinal_quality": op7_ordinal_quality,
         "op8_rendezvous_shards": op8_rendezvous_shards,
         "op9_token_counts": op9_token_counts,
+        "op10_toxicity": op10_toxicity,
     }
 
 
