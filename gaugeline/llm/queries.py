@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import mixing, quality, sharding, simhash, suffix_dedup, tiff, token_count, toxicity
+from gaugeline.llm import ann, mixing, quality, sharding, simhash, suffix_dedup, tiff, token_count, toxicity
 from gaugeline.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, near=5)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_simhash": op2_simhash,
+        "op3_anisotropic_neighbours": op3_anisotropic_neighbours,
         "op5_mix_sources": op5_mix_sources,
         "op6_tiff_pages": op6_tiff_pages,
         "op7_ordinal_quality": op7_ordinal_quality,
