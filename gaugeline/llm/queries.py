@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import ann, mixing, quality, sharding, simhash, suffix_dedup, tiff, token_count, toxicity
+from gaugeline.llm import ann, lattice, mixing, quality, sharding, simhash, suffix_dedup, tiff, token_count, toxicity
 from gaugeline.llm.common import documents
 
 
@@ -26,6 +26,11 @@ def op3_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, near=5)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = lattice.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_simhash": op2_simhash,
         "op3_anisotropic_neighbours": op3_anisotropic_neighbours,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_mix_sources": op5_mix_sources,
         "op6_tiff_pages": op6_tiff_pages,
         "op7_ordinal_quality": op7_ordinal_quality,
