@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 #: Bytes of a string whose repetition counts, and of the anchors within it.
 LENGTH, GRAM = 100, 24
 #: Bytes of text that a task holds at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
