@@ -12,8 +12,9 @@ assigned to its *anchor*, the least 24-byte bucket within it. Consecutive string
 of one anchor form a group. Groups meet by anchor (an initial q-gram bucket); of
 groups that are equal as a whole the first stays, and if no other group has the
 anchor its strings are all distinct. Only what is left, groups that share an anchor
-but differ, is refined to single strings. The first string of each final bucket is
-kept, every later one is removed.
+but differ, is refined: first to blocks of eight strings, which meet by the 93 bytes
+that all of them have, and of these only what differs still to single strings. The
+first string of each final bucket is kept, every later one is removed.
 
 Names are 64-bit hashes; two strings are taken as equal only if 128 bits agree.
 """
@@ -25,12 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of a string whose repetition counts, and of the anchors within it.
 LENGTH, GRAM = 100, 24
+#: Strings of a block, and the bytes that all of them have.
+BLOCK, CORE = 8, LENGTH - 7
 #: Bytes of text that a task holds at once.
 CHUNK = 2 << 20
 
@@ -142,9 +145,17 @@ def _ranks(keys: pa.Array) -> np.ndarray:
     return pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-# A group's place packed in a long: first string, strings less one, and whether it has to be refined.
-def _place(first: Column, more: Column, refine: Column) -> Column:
-    return F.shiftleft(first, 8).bitwiseOR(F.shiftleft(more.cast("long"), 1)).bitwiseOR(refine.cast("long"))
+def _leads(keys: list[np.ndarray], doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows equal in all keys the earliest; and whether another row has the same first key."""
+    order = np.lexsort((first, doc, *keys[::-1]))
+    sets = [k[order] for k in keys]
+    lead = order[np.r_[True, np.any([k[1:] != k[:-1] for k in sets], axis=0)]] if len(order) else order
+    k = keys[0][lead]
+    same = k[1:] == k[:-1]
+    return lead, np.r_[same, False] | np.r_[False, same] if len(lead) else np.zeros(0, bool)
+
+
+# A place packs in a long, from the top: first string, strings less one (7 bits), whether others share the anchor.
 
 
 def _emit_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,72 +170,95 @@ def _emit_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, first, last, anchor, name, _ = text.groups()
         if not len(first):
             continue
-        order = np.lexsort((first + text.shift[owner], _ranks(rows.column(0))[owner], name, anchor))
-        a, n = anchor[order], name[order]
-        lead = order[np.r_[True, (a[1:] != a[:-1]) | (n[1:] != n[:-1])]]
-        a = anchor[lead]
-        twin = np.r_[a[1:] == a[:-1], False] | np.r_[False, a[1:] == a[:-1]]
+        start = first + text.shift[owner]
+        lead, twin = _leads([anchor, name], _ranks(rows.column(0))[owner], start)
         lone, apart = lead[~twin], lead[twin]
         marks = np.unique(anchor[apart])
         taken = np.r_[lone, apart]
-        key = np.r_[anchor[lone], _mix(anchor[apart], name[apart], 2), marks]
-        mark = np.zeros(len(marks), np.int64)
-        docs = pa.concat_arrays([rows.column(0).take(pa.array(owner[taken])), pa.nulls(len(marks), rows.column(0).type)])
+        place = start[taken] << 8 | (last - first)[taken] << 1 | np.r_[np.zeros(len(lone), np.int64), np.ones(len(apart), np.int64)]
         yield pa.record_batch(
             [
-                pa.array(key.view(np.int64)),
-                pa.array(np.r_[name[taken].view(np.int64), mark]),
-                docs,
-                pa.array(np.r_[first[taken] + text.shift[owner[taken]], mark - 1]),
-                pa.array(np.r_[last[taken] - first[taken], mark].astype(np.int16)),
-                pa.array(np.r_[np.zeros(len(lone), bool), np.ones(len(apart) + len(marks), bool)]),
+                pa.array(np.r_[anchor[lone], _mix(anchor[apart], name[apart], 2), marks].view(np.int64)),
+                pa.array(np.r_[name[taken].view(np.int64), np.zeros(len(marks), np.int64)]),
+                pa.concat_arrays([rows.column(0).take(pa.array(owner[taken])), pa.nulls(len(marks), rows.column(0).type)]),
+                pa.array(np.r_[place, np.full(len(marks), -1)]),
             ],
-            names=["anchor", "name", "doc", "first", "more", "shared"],
+            names=["anchor", "name", "doc", "place"],
         )
 
 
-def _emit_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each string of the groups that have to be refined; the first of equals within a chunk."""
+def blocks_of(text: Text, owner: np.ndarray, first: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The blocks of groups: text, first string, strings less one, core, bytes before and after the core.
+
+    Blocks lie at fixed steps from the anchor, so equal strings are in blocks
+    with the same core. A block that begins or ends within a step has the bytes
+    of its own strings only; the top byte of ``after`` is where it begins.
+    """
+    b8, b24 = grams(text.data)
+    origin = anchors(b24)[first] - (LENGTH - GRAM)
+    low, high = (first - origin) // BLOCK, (first + more - origin) // BLOCK
+    count = high - low + 1
+    group = np.repeat(np.arange(len(first)), count)
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[group]
+    begin = origin[group] + step * BLOCK
+    own_first = np.maximum(first[group], begin)
+    own_last = np.minimum((first + more)[group], begin + BLOCK - 1)
+    skip, upto = (own_first - begin).astype(np.uint64), (own_last - begin).astype(np.uint64)
+    eight, one = np.uint64(8), np.uint64(1)
+    before = (b8[own_first] & ((one << (eight * (np.uint64(BLOCK - 1) - skip))) - one)) << (eight * skip)
+    after = b8[np.minimum(begin + LENGTH, len(b8) - 1)] & ((one << (eight * upto)) - one) | skip << np.uint64(56)
+    at = begin + BLOCK - 1
+    core = _mix(_mix(b24[at], b24[at + 24]), _mix(b24[at + 48], b24[at + CORE - GRAM]), 3)
+    core = _mix(core, step.astype(np.uint64), 4)
+    return owner[group], own_first, own_last - own_first, core, before, after
+
+
+def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of the groups to be refined, told apart and marked as groups are."""
     for rows, texts in _chunks(batches):
-        bases = rows.column(2).to_pylist()
-        text = Text(texts, bases)
+        text = Text(texts, rows.column(2).to_pylist())
         if len(text.data) < LENGTH:
             continue
-        _, b24 = grams(text.data)
-        at, owner = [], []
+        owner, first, more = [], [], []
         for i, places in enumerate(rows.column(3)):
             found = places.values.to_numpy(zero_copy_only=False)
             found = found[(found & 1) == 1]
-            first, more = (found >> 8) - text.shift[i], (found >> 1) & 127
-            own = (first >= text.starts[i]) & (first < text.starts[i] + text.sizes[i])  # rows of one key share their places
-            first, more = first[own], more[own]
-            spots = np.repeat(first, more + 1) + np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-            at.append(spots)
-            owner.append(np.full(len(spots), i))
-        at, owner = np.concatenate(at), np.concatenate(owner)
-        if not len(at):
+            at = (found >> 8) - text.shift[i]
+            own = (at >= text.starts[i]) & (at < text.starts[i] + text.sizes[i])  # rows of one home share their places
+            first.append(at[own])
+            more.append(found[own] >> 1 & 127)
+            owner.append(np.full(len(first[-1]), i))
+        owner, first, more = (np.concatenate(x) for x in (owner, first, more))
+        if not len(first):
             continue
-        k1, k2 = string_names(b24, at), string_names(b24, at, 0x5851F42D4C957F2D)
-        order = np.lexsort((at + text.shift[owner], _ranks(rows.column(0))[owner], k2, k1))
-        a, b = k1[order], k2[order]
-        lead = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
-        yield pa.record_batch([pa.array(k1[lead].view(np.int64)), pa.array(k2[lead].view(np.int64)), rows.column(0).take(pa.array(owner[lead])), pa.array(at[lead] + text.shift[owner[lead]])], names=["k1", "k2", "doc", "first"])
+        owner, first, more, core, before, after = blocks_of(text, owner, first, more)
+        start = first + text.shift[owner]
+        lead, twin = _leads([core, before, after], _ranks(rows.column(0))[owner], start)
+        lone, apart = lead[~twin], lead[twin]
+        marks = np.unique(core[apart])
+        taken, none = np.r_[lone, apart], np.zeros(len(marks), np.int64)
+        place = start[taken] << 8 | more[taken] << 1 | np.r_[np.zeros(len(lone), np.int64), np.ones(len(apart), np.int64)]
+        yield pa.record_batch(
+            [
+                pa.array(np.r_[core[lone], _mix(_mix(core[apart], before[apart]), after[apart]), marks].view(np.int64)),
+                *(pa.array(np.r_[x[taken].view(np.int64), none]) for x in (core, before, after)),
+                pa.concat_arrays([rows.column(0).take(pa.array(owner[taken])), pa.nulls(len(marks), rows.column(0).type)]),
+                pa.array(np.r_[place, none - 1]),
+            ],
+            names=["anchor", "core", "before", "after", "doc", "place"],
+        )
 
 
-def removed_runs(size: int, base: int, places: np.ndarray, singles: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal removed runs [start, end) of a text from the strings of it that stay."""
+def removed_runs(size: int, base: int, places: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal removed runs [start, end) of a text from the places of its strings that stay."""
     strings = size - LENGTH + 1
     if strings <= 0:
         return []
     steps = np.zeros(strings + 1, np.int64)
-    first, more = (places >> 8) - base, (places >> 1) & 127
-    whole = ((places & 1) == 0) & (first >= 0) & (first < strings)
-    np.add.at(steps, first[whole], 1)
-    np.add.at(steps, np.minimum(first[whole] + more[whole] + 1, strings), -1)
-    one = singles - base
-    one = one[(one >= 0) & (one < strings)]
-    np.add.at(steps, one, 1)
-    np.add.at(steps, one + 1, -1)
+    first, more = (places >> 8) - base, places >> 1 & 127
+    mine = ((places & 1) == 0) & (first >= 0) & (first < strings)
+    np.add.at(steps, first[mine], 1)
+    np.add.at(steps, np.minimum(first[mine] + more[mine] + 1, strings), -1)
     gone = np.cumsum(steps[:-1]) <= 0
     edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
     runs: list[tuple[int, int]] = []
@@ -242,8 +276,8 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in _chunks(batches):
         bases, kept, spans, gone = rows.column(2).to_pylist(), [], [], []
         for i, raw in enumerate(texts):
-            places, singles = (rows.column(c)[i] for c in (3, 4))
-            runs = removed_runs(len(raw), bases[i], *(x.values.to_numpy(zero_copy_only=False) if x.is_valid else none for x in (places, singles)))
+            found = [rows.column(c)[i] for c in (3, 4)]
+            runs = removed_runs(len(raw), bases[i], np.concatenate([x.values.to_numpy(zero_copy_only=False) if x.is_valid else none for x in found]))
             left, at = [], 0
             for start, end in runs:
                 left.append(raw[at:start])
@@ -257,6 +291,29 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _earliest(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Of rows equal in anchor and names the earliest; the last bit of its place says whether others have the anchor."""
+    met = rows.repartition("anchor").groupBy("anchor", *names).agg(F.min(F.when(F.col("place") >= 0, F.struct("doc", "place"))).alias("least"), F.max(F.col("place").bitwiseAND(F.lit(1))).alias("shared"))
+    of_anchor = Window.partitionBy("anchor")
+    refine = F.greatest((F.count(F.lit(1)).over(of_anchor) > 1).cast("long"), F.max("shared").over(of_anchor))
+    return met.withColumn("refine", refine).where(F.col("least").isNotNull()).select("least.doc", F.col("least.place").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("refine")).alias("place"), *names)
+
+
+def _earliest_strings(blocks: DataFrame) -> DataFrame:
+    """Places of the first of equal strings, of blocks that share a core but differ.
+
+    A string is named by the core, where it begins in its block, and its own
+    bytes before and after the core.
+    """
+    skip = F.shiftrightunsigned("after", 56)
+    more = F.shiftright("place", 1).bitwiseAND(F.lit(127))
+    each = blocks.select("doc", "core", "before", "after", (F.shiftright("place", 8) - skip).alias("begin"), F.explode(F.sequence(skip, skip + more)).alias("j"))
+    bits = (F.col("j") * 8).cast("int")
+    own = each.withColumn("b", F.call_function("shiftrightunsigned", "before", bits)).withColumn("a", F.col("after").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1))
+    named = own.select("doc", (F.col("begin") + F.col("j")).alias("first"), F.xxhash64("core", "j", "b", "a").alias("k1"), F.xxhash64("a", "b", "j", "core", F.lit(1)).alias("k2"))
+    return named.groupBy("k1", "k2").agg(F.min(F.struct("doc", "first")).alias("least")).select("least.doc", F.shiftleft("least.first", 8).alias("place"))
+
+
 def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row without the bytes of 100-byte strings that also start earlier.
 
@@ -278,24 +335,17 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # carried columns go along everywhere, else each step would shuffle texts anew without them
     along = ["carried"] if carry else []
-    groups = rows.select("doc", "text", "base", *along).mapInArrow(_emit_groups, f"anchor long, name long, doc {kind}, first long, more short, shared boolean")
-    met = groups.repartition("anchor")
-    least = F.min(F.when(F.col("first") >= 0, F.struct("doc", "first", "more"))).alias("least")
-    same = met.groupBy("anchor", "name").agg(least, F.max("shared").alias("shared"))
-    of_anchor = Window.partitionBy("anchor")
-    firsts = (
-        same.withColumn("refine", (F.count(F.lit(1)).over(of_anchor) > 1) | F.max("shared").over(of_anchor))
-        .where(F.col("least").isNotNull())
-        .select(F.xxhash64("least.doc").alias("home"), _place(F.col("least.first"), F.col("least.more"), F.col("refine")).alias("place"))
-    )
+    groups = rows.select("doc", "text", "base", *along).mapInArrow(_emit_groups, f"anchor long, name long, doc {kind}, place long")
+    firsts = _earliest(groups, ["name"]).select(F.xxhash64("doc").alias("home"), "place")
     places = firsts.groupBy("home").agg(F.collect_list("place").alias("places"))
 
     placed = rows.join(places, "home", "left")
     refined = placed.where(F.exists("places", lambda p: p.bitwiseAND(F.lit(1)) == 1)).select("doc", "text", "base", "places", *along)
-    strings = refined.mapInArrow(_emit_strings, f"k1 long, k2 long, doc {kind}, first long")
-    kept = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc", "first")).alias("least")).select(F.xxhash64("least.doc").alias("home"), "least.first")
-    singles = kept.groupBy("home").agg(F.collect_list("first").alias("singles"))
+    blocks = _earliest(refined.mapInArrow(_emit_blocks, f"anchor long, core long, before long, after long, doc {kind}, place long"), ["core", "before", "after"])
+    whole = blocks.where(F.col("place").bitwiseAND(F.lit(1)) == 0).select("doc", "place")
+    finer = whole.union(_earliest_strings(blocks.where(F.col("place").bitwiseAND(F.lit(1)) == 1)))
+    finer = finer.groupBy(F.xxhash64("doc").alias("home")).agg(F.collect_list("place").alias("finer"))
 
-    joined = placed.join(singles, "home", "left").select("doc", "text", "base", "places", "singles", "carried")
+    joined = placed.join(finer, "home", "left").select("doc", "text", "base", "places", "finer", "carried")
     fields = joined.schema["carried"].dataType.simpleString()
     return joined.mapInArrow(_cut_texts, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, carried {fields}")
