@@ -60,6 +60,27 @@ def targets(sizes: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = M
     return level.select("source", "source_size", target.alias("target"), offset(F.col("source"), seed).alias("shift"))
 
 
+def places(rows: DataFrame, *, weights: Sequence[int], most: int, seed: int, chunks: int) -> DataFrame:
+    """(doc_id, source, size) counted, with the place of the first along its source's order and the source's goal."""
+    rows = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("stratum", F.floor(F.log((F.col("size") + 1).cast("double")) * F.lit(float(STRATA)))).withColumn("chunk", F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(chunks)), F.lit(-1)))
+    cells = rows.groupBy("source", "stratum", "chunk").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("size")).alias("words"))
+    goals = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, most=most, seed=seed)
+    order = Window.partitionBy("source").orderBy("stratum", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("base", F.coalesce(F.sum("held").over(order), F.lit(0))).drop("held", "words")
+    cells = cells.alias("c").join(goals.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.*", "source_size", "target", "shift")
+    within = Window.partitionBy("source", "stratum", "chunk").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("upto", F.coalesce(F.sum("n").over(within), F.lit(0))).alias("r").join(cells.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.stratum") == F.col("c.stratum")) & (F.col("r.chunk") == F.col("c.chunk")))
+    return placed.select("r.doc_id", "r.source", "r.size", "r.n", (F.col("c.base") + F.col("r.upto") + 1).alias("first"), "source_size", "target", "shift")
+
+
+def copies(place: Column, goal: Column, most: int) -> Column:
+    """How many integer boundaries the step at a place crosses; goal has source_size, target and shift."""
+    rate = F.when(goal["source_size"] > 0, goal["target"] / goal["source_size"]).otherwise(F.lit(0.0))
+    crossed = F.floor(place * rate + goal["shift"]) - F.floor((place - 1) * rate + goal["shift"])
+    return F.least(crossed, F.lit(most)).cast("long")
+
+
 def mix(df: DataFrame, *, key: str = "doc_id", source: str = "source", size: Column | None = None, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED, chunks: int = CHUNKS) -> DataFrame:
     """Every row with its size, its source's size and target, and its copies in the mix.
 
@@ -69,20 +90,24 @@ def mix(df: DataFrame, *, key: str = "doc_id", source: str = "source", size: Col
     size 0 are not taken. Other columns are ignored; no rows give no rows.
     """
     size = words(F.col("text")) if size is None else size
-    rows = df.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("stratum", F.floor(F.log((F.col("size") + 1).cast("double")) * F.lit(float(STRATA)))).withColumn("chunk", F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(chunks)), F.lit(-1)))
-    cells = rows.groupBy("source", "stratum", "chunk").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("size")).alias("words"))
-    goals = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, most=most, seed=seed)
-    places = Window.partitionBy("source").orderBy("stratum", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("base", F.coalesce(F.sum("held").over(places), F.lit(0))).drop("held", "words")
-    cells = cells.alias("c").join(goals.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.*", "source_size", "target", "shift")
-    within = Window.partitionBy("source", "stratum", "chunk").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("upto", F.coalesce(F.sum("n").over(within), F.lit(0))).alias("r").join(cells.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.stratum") == F.col("c.stratum")) & (F.col("r.chunk") == F.col("c.chunk")))
-    first = F.col("c.base") + F.col("r.upto")
-    each = placed.select("r.doc_id", "r.source", "r.size", "source_size", "target", "shift", F.explode(F.sequence(first + 1, first + F.col("r.n"))).alias("place"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = F.floor(F.col("place") * rate + F.col("shift")) - F.floor((F.col("place") - 1) * rate + F.col("shift"))
-    return each.withColumn("copies", F.least(crossed, F.lit(most)).cast("long")).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    rows = df.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    placed = places(rows, weights=weights, most=most, seed=seed, chunks=chunks)
+    each = placed.withColumn("place", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).withColumn("copies", copies(F.col("place"), F.struct("source_size", "target", "shift"), most))
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed_rows(df: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED, chunks: int = CHUNKS) -> DataFrame:
+    """The rows of the mix, whole, each as often as it is taken; words of ``text`` count as size.
+
+    The same copies as ``mix`` gives; rows that agree in doc_id, source and size
+    get theirs in any order.
+    """
+    rows = df.select("*", words(F.col("text")).alias("__size")).withColumn("__home", F.xxhash64("doc_id", F.col("source").cast("string"), "__size"))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__home").orderBy("doc_id", "source", "__size")))
+    sized = df.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+    placed = places(sized, weights=weights, most=most, seed=seed, chunks=chunks).select(F.xxhash64("doc_id", "source", "size").alias("__home"), F.struct("first", "source_size", "target", "shift").alias("__goal"))
+    taken = rows.join(placed, "__home").withColumn("__copies", copies(F.col("__goal.first") + F.col("__nth") - 1, F.col("__goal"), most))
+    return taken.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*df.columns)
 
 
 #: The same rows of the query in DuckDB.

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gaugeline.llm.common import cut
 from gaugeline.llm.components import components
@@ -97,7 +98,7 @@ def tree(found: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
 
 
 def bucket_links(choice: np.ndarray, found: np.ndarray, masks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the buckets of rows sorted by (choice, bucket)."""
+    """Links (positions) within the buckets of rows sorted by (choice, bucket)."""
     bucket = found & masks[choice]
     starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (bucket[1:] != bucket[:-1])]) if len(found) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(found)])
@@ -113,53 +114,51 @@ def bucket_links(choice: np.ndarray, found: np.ndarray, masks: np.ndarray, dista
         near = tree(found[start : start + size], distance)
         a.append(np.array(near[0], np.int64) + start)
         b.append(np.array(near[1], np.int64) + start)
-    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-    return found[a], found[b]
+    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
 
 
-def links(distinct: DataFrame, *, distance: int = 4, blocks: int = 7) -> DataFrame:
-    """Links (a, b) of distinct fingerprints in column ``fp``, enough to join all that are within the distance.
+def links(nodes: DataFrame, *, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """Links (a, b) of nodes with fingerprints (columns ``node``, ``fp``), enough to join all that are within the distance.
 
-    Each fingerprint goes to one bucket a choice of blocks; rows arrive sorted,
-    so a task holds one bucket at a time, eight bytes a fingerprint.
+    Each node goes to one bucket a choice of blocks; rows arrive sorted, so a
+    task holds one bucket at a time, seventeen bytes a node. In a bucket of many
+    nodes the walk starts at the first in the order of ``node``.
     """
     masks = block_masks(blocks, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(masks, np.uint64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the rows of the last bucket so far
+        held: list[tuple[np.ndarray, ...]] = []  # the rows of the last bucket so far
 
-        def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            choice, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+        def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            choice, found, node = (np.concatenate(x) for x in zip(*parts, strict=True))
             a, b = bucket_links(choice, found, table, distance)
             if len(a):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                yield pa.record_batch([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            choice = batch.column(0).to_numpy(zero_copy_only=False)
-            found = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            choice, found, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            found = found.view(np.uint64)
             bucket = found & table[choice]
-            last = len(found) - 1
             starts = np.flatnonzero((choice[1:] != choice[:-1]) | (bucket[1:] != bucket[:-1])) + 1
             if held and (held[-1][0][-1] != choice[0] or held[-1][1][-1] & table[held[-1][0][-1]] != bucket[0]):
                 yield from out(held)
                 held = []
             if len(starts):
-                yield from out([*held, (choice[: starts[-1]], found[: starts[-1]])])
+                yield from out([*held, tuple(x[: starts[-1]] for x in (choice, found, node))])
                 held = []
-                choice, found = choice[starts[-1] :], found[starts[-1] :]
-            if last >= 0:
-                held.append((choice, found))
+                choice, found, node = (x[starts[-1] :] for x in (choice, found, node))
+            held.append((choice, found, node))
         if held:
             yield from out(held)
 
     signed = np.array(masks, np.uint64).view(np.int64).tolist()
-    dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(signed)))).alias("c"))
-    dealt = dealt.select(F.col("c.choice").alias("choice"), "fp", F.col("fp").bitwiseAND(F.col("c.mask")).alias("bucket"))
-    dealt = dealt.repartition("choice", "bucket").sortWithinPartitions("choice", "bucket")
-    return dealt.select("choice", "fp").mapInArrow(run, "a long, b long")
+    dealt = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(signed)))).alias("c"))
+    dealt = dealt.select(F.col("c.choice").alias("choice"), "fp", "node", F.col("fp").bitwiseAND(F.col("c.mask")).alias("bucket"))
+    dealt = dealt.repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "node")
+    return dealt.select("choice", "fp", "node").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
@@ -171,7 +170,7 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     """
     found = cut(fingerprints(df, key=key, text=text, shingle=shingle))
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(distinct, distance=distance, blocks=blocks))
+    joined = components(links(distinct.select(F.col("fp").alias("node"), "fp"), distance=distance, blocks=blocks))
     members = joined.join(distinct, joined["node"] == distinct["fp"]).select("fp", "root", "least")
     names = members.groupBy("root").agg(F.min("least").alias("component"))
     named = members.join(names, "root").select("fp", "component")
@@ -179,6 +178,57 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     return found.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_fingerprints(df: DataFrame) -> DataFrame:
+    """Rows of (doc_id, node, text) with, for the text, a fingerprint of the set of its distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [majority([xxhash.xxh64_intdigest(w, SEED) for w in set((t.as_py() or "").encode().lower().split())]) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "node", "fp"])
+
+    return df.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node long, fp long")
+
+
+def shingle_sets(df: DataFrame, *, shingle: int) -> DataFrame:
+    """For each row of (node, text) the distinct 32-bit hashes of its runs of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), np.uint64).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    return df.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+
+
+def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 8) -> DataFrame:
+    """The rows, whole, less near-duplicates: of each group of linked documents the one with the least key stays.
+
+    Equal texts are linked. Others are linked if the fingerprints of their sets
+    of words differ in at most ``distance`` bits and, verified, their sets of
+    ``shingle``-word runs have a Jaccard similarity of ``similarity`` or more.
+    Words rather than runs make the fingerprint, since one changed word changes
+    ``shingle`` runs and so about five times the share of what the fingerprint
+    sums up. Texts without words are one group. A null key counts as the
+    greatest; of rows that agree in key and text any one stays. Other columns go
+    along; an empty table gives no rows.
+    """
+    rows = df.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__node")).withColumn("__home", F.xxhash64("doc_id", "__node"))
+    plain = rows.select("doc_id", "text", F.col("__node").alias("node"), F.col("__home").alias("home"))
+    found = cut(word_fingerprints(plain).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
+    pairs = cut(links(found, distance=distance, blocks=blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node").select(F.xxhash64("least", "node").alias("home"))
+    sets = shingle_sets(plain.join(ends, "home", "left_semi"), shingle=shingle).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    of_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = of_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    close = both.where(shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    members = components(close).join(found, "node").select("node", "root", F.struct(F.col("least").isNull().alias("null"), "least", "node").alias("place"))
+    losers = members.join(members.groupBy("root").agg(F.min("place").alias("first")), "root").where(F.col("node") != F.col("first.node")).select("node")
+    kept = found.join(losers, "node", "left_anti").select(F.xxhash64("least", "node").alias("__home"))
+    first = F.row_number().over(Window.partitionBy("__home").orderBy("__node"))
+    return rows.withColumn("__first", first).where(F.col("__first") == 1).join(kept, "__home", "left_semi").select(*df.columns)
+
+
 def hexadecimal(fp: Column) -> Column:
     """Sixteen lower-case digits of a fingerprint."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -271,8 +271,9 @@ def removed_runs(size: int, base: int, places: np.ndarray) -> list[tuple[int, in
     return runs
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterator[pa.RecordBatch], whole_characters: bool) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, np.int64)
+    tidy = (lambda piece: piece.decode("utf-8", "ignore").encode()) if whole_characters else bytes
     for rows, texts in _chunks(batches):
         bases, kept, spans, gone = rows.column(2).to_pylist(), [], [], []
         for i, raw in enumerate(texts):
@@ -280,9 +281,9 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = removed_runs(len(raw), bases[i], np.concatenate([x.values.to_numpy(zero_copy_only=False) if x.is_valid else none for x in found]))
             left, at = [], 0
             for start, end in runs:
-                left.append(raw[at:start])
+                left.append(tidy(raw[at:start]))
                 at = end
-            kept.append(b"".join([*left, raw[at:]]) if runs else raw)
+            kept.append(b"".join([*left, tidy(raw[at:])]) if runs else raw)
             spans.append([{"start": s, "end": e} for s, e in runs])
             gone.append(sum(e - s for s, e in runs))
         yield pa.record_batch(
@@ -314,14 +315,16 @@ def _earliest_strings(blocks: DataFrame) -> DataFrame:
     return named.groupBy("k1", "k2").agg(F.min(F.struct("doc", "first")).alias("least")).select("least.doc", F.shiftleft("least.first", 8).alias("place"))
 
 
-def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """Every row without the bytes of 100-byte strings that also start earlier.
 
     Returns doc_id, n_bytes, n_removed, spans (removed runs, array of start and
     end), kept (the other bytes, binary) and ``carried``, a struct of the columns
     named in ``carry``. Earlier means a smaller key, null first; rows with one
     key are ordered by text and stay separate texts, so of equal rows the first
-    is kept whole. Null text counts as empty. An empty table gives no rows.
+    is kept whole. Null text counts as empty. An empty table gives no rows. With
+    ``whole_characters`` the bytes of a character that a cut leaves in part go too,
+    so that ``kept`` is UTF-8; counts and spans stay those of the rule.
 
     Texts are shuffled once, by key; every later step reads that shuffle again.
     """
@@ -348,4 +351,4 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     joined = placed.join(finer, "home", "left").select("doc", "text", "base", "places", "finer", "carried")
     fields = joined.schema["carried"].dataType.simpleString()
-    return joined.mapInArrow(_cut_texts, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, carried {fields}")
+    return joined.mapInArrow(lambda batches: _cut_texts(batches, whole_characters), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, carried {fields}")

@@ -65,7 +65,7 @@ def test_components_equal_brute_force(spark, seed):
     df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
     want = reach(list(range(len(fps))), fps)
     where = {x: i for i, x in enumerate(fps)}
-    out = components(simhash.links(df.repartition(5))).collect()
+    out = components(simhash.links(df.repartition(5).withColumn("node", F.col("fp")))).collect()
     got = {}
     for r in out:
         got.setdefault(r.root, set()).add(where[r.node % 2**64])
