@@ -34,3 +34,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+def _load() -> None:
+    from gaugeline.plans import evaluation  # noqa: F401  modules register their queries
+
+
+_load()
