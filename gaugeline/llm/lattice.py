@@ -47,8 +47,11 @@ class Pieces:
         self.longest = max(map(len, self.texts), default=1)
         self.least = float(self.scores.min()) if len(self.scores) else 0.0
         self.rank = {t: k for k, t in enumerate(self.texts)}
-        self.back = {int(i): t for t, i in zip(self.texts, self.ids, strict=True)}
-        self.back_bytes = {int(i): bytes((b,)) for b, i in enumerate(self.bytes_)}
+        self.raw = [b""] * (int(max(self.ids.max(initial=0), self.bytes_.max(initial=0))) + 1)  # by id
+        for t, i in zip(self.texts, self.ids.tolist(), strict=True):
+            self.raw[i] = t.encode()
+        for b, i in enumerate(self.bytes_.tolist()):
+            self.raw[i] = bytes((b,))
         hashes = name(self.texts, self.longest)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.places = hashes[order], order
@@ -222,8 +225,7 @@ class Encoder:
 
 def decode(ids, pieces: Pieces) -> str:
     """The text that the ids stand for, without the blank put before it."""
-    raw = b"".join(pieces.back_bytes[i] if i in pieces.back_bytes else pieces.back[i].encode() for i in ids)
-    text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+    text = b"".join(map(pieces.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text.startswith(" ") else text
 
 
