@@ -50,7 +50,7 @@ _UNIFIED = re.compile(r"(?:(?P<whole>\d+)\s*-\s*)?(?:(?P<num>\d+)/(?P<den>\d+)|(
 _FINISH = re.compile(r"(?P<kind>R[aAzZ]|ra)\s*(?P<value>\d+(?:[.,]\d+)?)\s*(?:µm|um|μm)?$|(?P<micro>\d+(?:\.\d+)?)\s*(?:µin|uin|microinch)$")
 _SIZE = re.compile(rf"\s*(?P<prefix>{_PREFIX})?\s*(?P<nominal>{_NUMBER})\s*(?P<degree>°)?\s*")
 _TOLERANCE = re.compile(
-    rf"±\s*(?P<both>{_PLAIN})|(?P<first>[+-](?:\d+,\d+|\d+\.\d*|\.\d+|\d+))\s*/?\s*(?P<second>{_PLAIN})|(?P<fit>(?!(?:{'|'.join(WORDS)})(?![A-Za-z0-9]))[A-Za-z]{{1,2}}\d{{1,2}})(?:/[A-Za-z]{{1,2}}\d{{1,2}})?(?![\w.])|/\s*(?P<limit>{_PLAIN})"
+    rf"±\s*(?P<both>{_PLAIN})|(?P<first>[+-](?>\d+,\d+|\d+\.\d*|\.\d+|\d+))\s*/?\s*(?P<second>{_PLAIN})|(?P<fit>(?!(?:{'|'.join(WORDS)})(?![A-Za-z0-9]))[A-Za-z]{{1,2}}\d{{1,2}})(?:/[A-Za-z]{{1,2}}\d{{1,2}})?(?![\w.])|/\s*(?P<limit>{_PLAIN})"
 )
 _BROKEN = re.compile(r"[±+/-]")
 _TRAIL = re.compile(rf"\s*(?:↧\s*(?P<depth>{_NUMBER})|(?P<bore>[⌴⌵])|(?P<count>\d+)\s*X(?![\w.])|(?P<prefix>{_PREFIX})\s*(?P<size>(?=[.\d]){_NUMBER})|(?P<word>[A-Za-z][A-Za-z0-9'\-]*))\s*")
