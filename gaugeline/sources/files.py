@@ -15,7 +15,7 @@ DRAWING = f"drawing_id STRING, source STRING, part_ref STRING, units STRING, pro
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Every JSON file under a folder as (path, stem, text), without manifests."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(name, r"\.json$", "").alias("stem"), F.col("value").alias("text"))
     return rows.where(F.col("stem") != "manifest")
