@@ -10,6 +10,7 @@ verified, and links join documents to components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -178,15 +179,20 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     return found.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_fingerprints(df: DataFrame) -> DataFrame:
-    """Rows of (doc_id, node, text) with, for the text, a fingerprint of the set of its distinct words."""
+def word_fingerprints(df: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """Rows of (doc_id, node, text) with fingerprints ``fp0``, ``fp1``... of the set of the text's words, one a seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [majority([xxhash.xxh64_intdigest(w, SEED) for w in set((t.as_py() or "").encode().lower().split())]) for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "node", "fp"])
+            found = []
+            for t in batch.column(2):
+                distinct = set((t.as_py() or "").encode().lower().split())
+                found.append([majority([xxhash.xxh64_intdigest(w, seed) for w in distinct]) for seed in seeds])
+            each = np.array(found, np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(each[:, k].copy()) for k in range(len(seeds)))], names=["doc_id", "node", *(f"fp{k}" for k in range(len(seeds)))])
 
-    return df.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node long, fp long")
+    fields = ", ".join(f"fp{k} long" for k in range(len(seeds)))
+    return df.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node long, {fields}")
 
 
 def shingle_sets(df: DataFrame, *, shingle: int) -> DataFrame:
@@ -200,22 +206,24 @@ def shingle_sets(df: DataFrame, *, shingle: int) -> DataFrame:
     return df.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
-def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 8) -> DataFrame:
+def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 8, seeds: tuple[int, ...] = (SEED, SEED + 1)) -> DataFrame:
     """The rows, whole, less near-duplicates: of each group of linked documents the one with the least key stays.
 
     Equal texts are linked. Others are linked if the fingerprints of their sets
-    of words differ in at most ``distance`` bits and, verified, their sets of
+    of words, of either seed, differ in at most ``distance`` bits and, verified, their sets of
     ``shingle``-word runs have a Jaccard similarity of ``similarity`` or more.
     Words rather than runs make the fingerprint, since one changed word changes
     ``shingle`` runs and so about five times the share of what the fingerprint
-    sums up. Texts without words are one group. A null key counts as the
+    sums up; a second seed finds most of the pairs that the first one misses, at
+    twice the rows, where a larger distance would fill the buckets. Texts without words are one group. A null key counts as the
     greatest; of rows that agree in key and text any one stays. Other columns go
     along; an empty table gives no rows.
     """
     rows = df.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__node")).withColumn("__home", F.xxhash64("doc_id", "__node"))
     plain = rows.select("doc_id", "text", F.col("__node").alias("node"), F.col("__home").alias("home"))
-    found = cut(word_fingerprints(plain).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")))
-    pairs = cut(links(found, distance=distance, blocks=blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = cut(word_fingerprints(plain, seeds).groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))))
+    near = reduce(DataFrame.union, (links(found.select("node", F.col(f"fp{k}").alias("fp")), distance=distance, blocks=blocks) for k in range(len(seeds))))
+    pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node").select(F.xxhash64("least", "node").alias("home"))
     sets = shingle_sets(plain.join(ends, "home", "left_semi"), shingle=shingle).groupBy("node").agg(F.first("shingles").alias("shingles"))
     of_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
