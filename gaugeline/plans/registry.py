@@ -37,7 +37,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from gaugeline.plans import drawings, evaluation, files, parts, verification  # noqa: F401  modules register their queries
+    from gaugeline.plans import drawings, evaluation, files, parts, sheets, verification  # noqa: F401  modules register their queries
 
 
 _load()
