@@ -104,16 +104,16 @@ def close(a: Column, b: Column, by: float = 1e-9) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.abs(a - b) <= by)
 
 
-def _mm_pair(g: Column, p: Column, field: str) -> tuple[Column, Column]:
+def mm_pair(g: Column, p: Column, field: str) -> tuple[Column, Column]:
     return to_mm(g[field], g["units"]), to_mm(p[field], p["units"])
 
 
 def nominal_equal(g: Column, p: Column) -> Column:
-    return close(*_mm_pair(g, p, "nominal"))
+    return close(*mm_pair(g, p, "nominal"))
 
 
 def tolerances_equal(g: Column, p: Column) -> Column:
-    return close(*_mm_pair(g, p, "upper_tol")) & close(*_mm_pair(g, p, "lower_tol"))
+    return close(*mm_pair(g, p, "upper_tol")) & close(*mm_pair(g, p, "lower_tol"))
 
 
 def within_one_digit(g: Column, p: Column) -> Column:
@@ -121,7 +121,7 @@ def within_one_digit(g: Column, p: Column) -> Column:
     step = to_mm(F.pow(F.lit(10.0), -decimals(g["raw_text"])), g["units"])
 
     def near(field: str) -> Column:
-        a, b = _mm_pair(g, p, field)
+        a, b = mm_pair(g, p, field)
         return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.abs(a - b) <= step + 1e-9)
 
     return near("upper_tol") & near("lower_tol")
@@ -135,6 +135,6 @@ def perfect(g: Column, p: Column) -> Column:
     """Every scored field agrees."""
     same = {f: g[f].eqNullSafe(p[f]) for f in ("kind", "view", "dim_type", "is_basic", "gtol_symbol", "material_modifier")}
     dimension = same["dim_type"] & nominal_equal(g, p) & tolerances_equal(g, p) & same["is_basic"]
-    tolerance = same["gtol_symbol"] & close(*_mm_pair(g, p, "gtol_value")) & same["material_modifier"] & refs_equal(g, p)
+    tolerance = same["gtol_symbol"] & close(*mm_pair(g, p, "gtol_value")) & same["material_modifier"] & refs_equal(g, p)
     other = F.coalesce(g["raw_text"], F.lit("")) == F.coalesce(p["raw_text"], F.lit(""))
     return same["kind"] & same["view"] & F.when(g["kind"] == "dimension", dimension).when(g["kind"] == "geometric_tolerance", tolerance).otherwise(other)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gaugeline.constants import MM_PER_INCH
 from gaugeline.operators.verification import frame_types, sufficient
@@ -87,8 +88,6 @@ def flip_modifier(chars: DataFrame, drawings: DataFrame, seed: int) -> DataFrame
 
 def drop_characteristic(chars: DataFrame, seed: int) -> DataFrame:
     """All callouts but one, numbered anew: (drawing_id, id, old_id). Frames with datums are spared where others remain."""
-    from pyspark.sql.window import Window
-
     spared = (F.col("kind") == "geometric_tolerance") & (F.size("datum_refs") > 0)
     counts = chars.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if(~spared).alias("free"))
     rows = chars.join(counts, KEY)
@@ -114,4 +113,4 @@ def confuse_units(chars: DataFrame) -> DataFrame:
 
 def new_findings(damaged: DataFrame, clean: DataFrame) -> DataFrame:
     """Findings of the damaged drawing that the clean one did not have."""
-    return damaged.exceptAll(clean).distinct() if damaged.columns == clean.columns else damaged.subtract(clean.select(*damaged.columns))
+    return damaged.subtract(clean.select(*damaged.columns))
