@@ -102,7 +102,7 @@ def fit(x: np.ndarray, *, cells: int = CELLS, near: int = 5, rounds: int = 8, se
     index.books = left[rng.choice(n, 16)].transpose(1, 0, 2).copy() + rng.normal(0, 1e-4, (spaces, 16, STEP))
     for _ in range(rounds):
         codes = assign(left, own, index.books, eta, 1)
-        error = left - np.take_along_axis(index.books[None], codes.T[None, :, :, None].transpose(0, 1, 2, 3), 2)[0].transpose(1, 0, 2)
+        error = left - index.books[np.arange(spaces)[None], codes]
         parallel = np.einsum("nsd,nsd->ns", error, own)
         for s in range(spaces):
             goal = parallel.sum(axis=1) - parallel[:, s] + np.einsum("nd,nd->n", left[:, s], own[:, s])
@@ -189,7 +189,7 @@ def search(df: DataFrame, *, every: int = 50, near: int = 5, key: str = "vec_id"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).values.to_numpy(zero_copy_only=False)[batch.column(1).offsets[0].as_py() : batch.column(1).offsets[-1].as_py()].reshape(-1, index.value.size) if len(batch) else np.zeros((0, index.value.size))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, index.value.size)
             for start in range(0, len(x), 2000):
                 part = x[start : start + 2000]
                 unit = _unit(part)

@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeline.llm.common import cut
+from gaugeline.llm.common import cut, small_batches
 from gaugeline.llm.components import components
 
 SEED = 42
 #: Buckets up to this size compare all their pairs; larger ones grow trees.
 SMALL = 8
+#: Buckets of more nodes are cut into chunks of about so many, and every two chunks meet in a task of their own.
+CHUNK = 1 << 18
 
 
 def shingle_hashes(text: str | None, n: int) -> list[int]:
@@ -63,6 +65,7 @@ def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text", shin
             found = [majority(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -98,10 +101,10 @@ def tree(found: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def bucket_links(choice: np.ndarray, found: np.ndarray, masks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) within the buckets of rows sorted by (choice, bucket)."""
+def bucket_links(choice: np.ndarray, found: np.ndarray, block: np.ndarray, masks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) within the buckets of rows sorted by (choice, bucket, block)."""
     bucket = found & masks[choice]
-    starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (bucket[1:] != bucket[:-1])]) if len(found) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])]) if len(found) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(found)])
     group = np.repeat(np.arange(len(starts)), sizes)
     few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
@@ -118,48 +121,57 @@ def bucket_links(choice: np.ndarray, found: np.ndarray, masks: np.ndarray, dista
     return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
 
 
-def links(nodes: DataFrame, *, distance: int = 4, blocks: int = 7) -> DataFrame:
+def links(nodes: DataFrame, *, distance: int = 4, blocks: int = 7, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) of nodes with fingerprints (columns ``node``, ``fp``), enough to join all that are within the distance.
 
     Each node goes to one bucket a choice of blocks; rows arrive sorted, so a
-    task holds one bucket at a time, seventeen bytes a node. In a bucket of many
-    nodes the walk starts at the first in the order of ``node``.
+    task holds one bucket at a time, seventeen bytes a node. A bucket of more
+    than ``chunk`` nodes is cut into chunks, and each pair of chunks (a chunk
+    with itself too) is a bucket of its own, so that no task holds more than two
+    chunks and no pair is lost. In a bucket of many nodes the walk starts at the
+    first in the order of ``node``.
     """
     masks = block_masks(blocks, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(masks, np.uint64)
-        held: list[tuple[np.ndarray, ...]] = []  # the rows of the last bucket so far
+        held: list[tuple[np.ndarray, ...]] = []  # the rows of the last bucket and block so far
 
         def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            choice, found, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = bucket_links(choice, found, table, distance)
+            choice, found, node, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, b = bucket_links(choice, found, block, table, distance)
             if len(a):
                 yield pa.record_batch([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            choice, found, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            choice, found, node, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             found = found.view(np.uint64)
             bucket = found & table[choice]
-            starts = np.flatnonzero((choice[1:] != choice[:-1]) | (bucket[1:] != bucket[:-1])) + 1
-            if held and (held[-1][0][-1] != choice[0] or held[-1][1][-1] & table[held[-1][0][-1]] != bucket[0]):
+            starts = np.flatnonzero((choice[1:] != choice[:-1]) | (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
+            if held and (held[-1][0][-1] != choice[0] or held[-1][1][-1] & table[held[-1][0][-1]] != bucket[0] or held[-1][3][-1] != block[0]):
                 yield from out(held)
                 held = []
             if len(starts):
-                yield from out([*held, tuple(x[: starts[-1]] for x in (choice, found, node))])
+                yield from out([*held, tuple(x[: starts[-1]] for x in (choice, found, node, block))])
                 held = []
-                choice, found, node = (x[starts[-1] :] for x in (choice, found, node))
-            held.append((choice, found, node))
+                choice, found, node, block = (x[starts[-1] :] for x in (choice, found, node, block))
+            held.append((choice, found, node, block))
         if held:
             yield from out(held)
 
     signed = np.array(masks, np.uint64).view(np.int64).tolist()
     dealt = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(signed)))).alias("c"))
     dealt = dealt.select(F.col("c.choice").alias("choice"), "fp", "node", F.col("fp").bitwiseAND(F.col("c.mask")).alias("bucket"))
-    dealt = dealt.repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "node")
-    return dealt.select("choice", "fp", "node").mapInArrow(run, "a long, b long")
+    # at most one row for each ``chunk`` rows dealt, so it is broadcast; mostly it is empty
+    large = dealt.groupBy("choice", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    dealt = dealt.join(F.broadcast(large), ["choice", "bucket"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(own, k) * F.col("parts") + F.greatest(own, k))
+    dealt = dealt.select("choice", "bucket", "fp", "node", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(meets)).alias("block"))
+    dealt = dealt.repartition("choice", "bucket", "block").sortWithinPartitions("choice", "bucket", "block", "node")
+    return dealt.select("choice", "fp", "node", "block").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
@@ -219,6 +231,7 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, dis
     greatest; of rows that agree in key and text any one stays. Other columns go
     along; an empty table gives no rows.
     """
+    small_batches(df.sparkSession)
     rows = df.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__node")).withColumn("__home", F.xxhash64("doc_id", "__node"))
     plain = rows.select("doc_id", "text", F.col("__node").alias("node"), F.col("__home").alias("home"))
     found = cut(word_fingerprints(plain, seeds).groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))))

@@ -49,8 +49,8 @@ def test_fingerprints(spark, docs, odd):
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk"), [(1, simhash.CHUNK), (2, 5), (3, 1)])
+def test_components_equal_brute_force(spark, seed, chunk):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(25)]
     fps = []
@@ -65,7 +65,7 @@ def test_components_equal_brute_force(spark, seed):
     df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
     want = reach(list(range(len(fps))), fps)
     where = {x: i for i, x in enumerate(fps)}
-    out = components(simhash.links(df.repartition(5).withColumn("node", F.col("fp")))).collect()
+    out = components(simhash.links(df.repartition(5).withColumn("node", F.col("fp")), chunk=chunk)).collect()
     got = {}
     for r in out:
         got.setdefault(r.root, set()).add(where[r.node % 2**64])

@@ -46,12 +46,9 @@ def test_bad_files_give_an_error_row(spark):
 
 
 def test_documents(spark, docs, odd):
-    from gaugeline.llm import queries
-
-    path = queries  # the query's digest over the operator's rows
     rows = docs(odd)
     pages = tiff.tiff_pages(tiff.texts_to_tiff(rows.withColumn("media", F.lit(1)))).collect()
-    assert len(pages) == len(odd) and path
+    assert len(pages) == len(odd)
     by = {r.doc_id: r for r in pages}
     for i, t in enumerate(odd):
         raw = (t or "").encode()
