@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,6 +47,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to a worker; Spark's default is eight times that.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to workers in batches of ``BATCH`` bytes at most.
+
+    A batch exists several times at once (in the JVM, on the way, in the worker),
+    for each task and each Python step of it, beside whatever idle workers keep.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, "64m")).lower()
+    size = int(re.match(r"\d+", now)[0]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    if not 0 < size <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def words(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

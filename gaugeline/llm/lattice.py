@@ -25,13 +25,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import small_batches
+
 SPACE = "▁"
 #: What a character outside the table costs beyond the worst piece.
 UNKNOWN = 10.0
 #: Size of the bit tables before the search for a piece.
 FILTER = 1 << 20
 #: Longer words are folded alone, words of so many characters at most are kept by a worker, up to so many.
-LONG, KEPT_CHARS, KEPT_WORDS = 64, 40, 200_000
+LONG, KEPT_CHARS, KEPT_WORDS = 64, 40, 150_000
 
 
 @dataclass
@@ -246,6 +248,7 @@ def encode(df: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "
     stands for it, so ``round_trip`` compares with that sign read as a blank.
     Null and empty texts have no ids. Rows are handled one by one.
     """
+    small_batches(df.sparkSession)
     pieces = df.sparkSession.sparkContext.broadcast(read_pieces(model_path))  # a fixed vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

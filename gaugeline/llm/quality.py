@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import small_batches
+
 #: Hash space of features; documents that the fit takes at most; words that a worker keeps.
 SPACE = 1 << 18
 SAMPLE = 6000
-KEPT_WORDS, KEPT_CHARS = 200_000, 48
+KEPT_WORDS, KEPT_CHARS = 60_000, 48
 
 _UPPER, _LOWER, _DIGIT = (re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]+", r"[^\W\d_A-ZÀ-ÖØ-Þ]+", r"\d+"))
 
@@ -136,6 +138,7 @@ def train(docs: DataFrame, ratings: DataFrame, *, count: int, sample: int = SAMP
     dropped, and of several grades of a key the least counts. Texts are read
     whole; features are made by the workers.
     """
+    small_batches(docs.sparkSession)
     rated = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).dropna().where(F.col("grade").between(0, count - 1)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
@@ -150,6 +153,7 @@ def scores(df: DataFrame, model: Model, *, at_least: int = 1, key: str = "doc_id
     Null and empty texts have no features and get the thresholds' own
     probabilities. Rows are handled one by one.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +168,7 @@ def scores(df: DataFrame, model: Model, *, at_least: int = 1, key: str = "doc_id
 
 def keep(df: DataFrame, model: Model, *, at_least: int = 1, probability: float = 0.5, text: str = "text") -> DataFrame:
     """The rows, whole, whose text reaches the grade with at least that probability."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeline.llm.common import small_batches
+
 #: Bytes of a string whose repetition counts, and of the anchors within it.
 LENGTH, GRAM = 100, 24
 #: Strings of a block, and the bytes that all of them have.
@@ -328,6 +330,7 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Texts are shuffled once, by key; every later step reads that shuffle again.
     """
+    small_batches(df.sparkSession)
     carried = F.struct(*([F.col(c) for c in carry] or [F.lit(None).cast("int").alias("none")])).alias("carried")
     rows = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), carried)
     kind = rows.schema["doc"].dataType.simpleString()

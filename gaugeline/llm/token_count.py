@@ -18,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import small_batches
+
 SPACE = "▁"
 #: Counts of so many distinct words, of so many characters at most, are kept by each worker.
 KEPT_WORDS, KEPT_CHARS = 300_000, 48
@@ -127,6 +129,7 @@ def count_tokens(df: DataFrame, model_path: str, *, key: str = "doc_id", text: s
             texts = batch.column(1).to_pylist()
             yield pa.record_batch([batch.column(0), pa.array([counter.tokens(t) for t in texts], pa.int64()), batch.column(2)], names=["doc_id", "n_tokens", "n_bytes"])
 
+    small_batches(df.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("doc_id"), whole.alias("text"), F.octet_length(whole).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()

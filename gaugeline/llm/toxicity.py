@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import small_batches
+
 #: Hash space of words, size of an embedding, widths of filters and filters a width.
 SPACE, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: First letters that are hashed beside the word.
@@ -234,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
 
     Null keys and labels are dropped; of several labels of a key the greatest counts.
     """
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").dropna().where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
@@ -248,6 +251,7 @@ def scores(df: DataFrame, model: Model, *, key: str = "doc_id", text: str = "tex
     The score depends on the text alone; null and empty texts get the score of a
     text without words. Rows are handled one by one.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
