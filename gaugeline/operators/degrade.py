@@ -14,8 +14,9 @@ RETAINED, COVERED = 0.45, 0.55
 
 
 def _mapped(rows: DataFrame, move: PointMap, width: Column, height: Column) -> DataFrame:
-    box = map_box(F.col("bbox"), move)
-    rows = rows.withColumn("moved", box).withColumn("clipped", clip(F.col("moved"), width, height))
+    # each step through a generator of one element: else the outline's 36 points would stand in for every use of the box
+    rows = rows.withColumn("moved", F.explode(F.array(map_box(F.col("bbox"), move))))
+    rows = rows.withColumn("clipped", F.explode(F.array(clip(F.col("moved"), width, height))))
     share = area(F.col("clipped")) / F.greatest(area(F.col("moved")), F.lit(1e-9))
     return rows.where(F.col("clipped").isNotNull() & (share >= RETAINED)).withColumn("bbox", F.col("clipped")).drop("moved", "clipped")
 
