@@ -40,7 +40,7 @@ def flange_rejects(spark, sf_dir):
     return parts.flange_draws(spark, 200).groupBy(F.coalesce(parts.flange_faults(), F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("flange_params", f"WITH {DRAWS} SELECT seed, attempt, od, bore, thickness, bolt, bolt_hole, bcd, bolt_count, bore_chamfer FROM fl WHERE fault IS NULL QUALIFY row_number() OVER (PARTITION BY seed ORDER BY attempt) = 1")
+@register("flange_params", f"WITH {DRAWS} SELECT seed, attempt::INT AS attempt, od, bore, thickness, bolt, bolt_hole, bcd, bolt_count, bore_chamfer FROM fl WHERE fault IS NULL QUALIFY row_number() OVER (PARTITION BY seed ORDER BY attempt) = 1")
 def flange_params(spark, sf_dir):
     return parts.flanges(spark, 200)
 
