@@ -65,7 +65,6 @@ def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text", shin
             found = [majority(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    small_batches(df.sparkSession)
     small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -233,7 +232,6 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, dis
     along; an empty table gives no rows.
     """
     small_batches(df.sparkSession)
-    small_batches(df.sparkSession)
     rows = df.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__node")).withColumn("__home", F.xxhash64("doc_id", "__node"))
     plain = rows.select("doc_id", "text", F.col("__node").alias("node"), F.col("__home").alias("home"))
     found = cut(word_fingerprints(plain, seeds).groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))))
