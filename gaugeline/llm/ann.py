@@ -24,9 +24,9 @@ from pyspark.sql.window import Window
 #: Vectors the index is fitted on at most, cells, dimensions a code, threshold of the anisotropic loss.
 SAMPLE, CELLS, STEP, THRESHOLD = 16384, 32, 2, 0.2
 #: Rows of a cell that one task scans, queries that it holds, candidates of a part that are ranked again.
-PART, QUERIES, RERANKED = 4096, 16384, 100
+PART, QUERIES, RERANKED = 4096, 16384, 400
 #: Share of true neighbours that the probed cells have to hold, on the sample.
-PROBED = 0.985
+PROBED = 0.997
 
 
 @dataclass
