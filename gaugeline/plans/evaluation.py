@@ -11,6 +11,7 @@ from gaugeline.functions import callouts as C
 from gaugeline.operators import matching, scoring
 from gaugeline.plans.registry import register
 from gaugeline.sources.fixtures import callouts, duck, view
+from gaugeline.sources.shared import cut
 
 KEY = "drawing_id"
 
@@ -270,7 +271,7 @@ def run_summary(spark, sf_dir):
 def evaluate_end_to_end(spark, sf_dir):
     """Scores by profile with the pairs that the global assignment finds (no SQL: ties of equal cost)."""
     g, p = truth(spark, sf_dir), valid(spark, sf_dir)
-    m = matching.match(g, p).select(KEY, "gt_id", "pred_id")
+    m = cut(matching.match(g, p).select(KEY, "gt_id", "pred_id"))  # ids only; every tier reads them
     datums = view(spark, sf_dir, "datum")
     every = scoring.drawing_scores(g, p, malformed(spark, sf_dir), datums, datums.where("pos < 2"), m, matching.joined(g, p, m))
     return _rounded(scoring.run_summary(every.join(view(spark, sf_dir, "drawing").select(KEY, "profile"), KEY), "profile"))
