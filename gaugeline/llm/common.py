@@ -59,7 +59,7 @@ def small_batches(spark: SparkSession) -> None:
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(name, "64m")).lower()
-    size = int(re.match(r"\d+", now)[0]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    size = int(re.match(r"-?\d+", now)[0]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
     if not 0 < size <= BATCH:
         spark.conf.set(name, str(BATCH))
 
