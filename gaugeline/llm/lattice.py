@@ -33,7 +33,7 @@ UNKNOWN = 10.0
 #: Size of the bit tables before the search for a piece.
 FILTER = 1 << 20
 #: Longer words are folded alone, words of so many characters at most are kept by a worker, up to so many.
-LONG, KEPT_CHARS, KEPT_WORDS = 64, 40, 150_000
+LONG, KEPT_CHARS, KEPT_WORDS = 64, 40, 200_000
 
 
 @dataclass
@@ -112,8 +112,8 @@ def step(held: np.ndarray, code: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fold(words: list[str], pieces: Pieces) -> list[list[int]]:
-    """The ids of each word's best path; of equal paths the one whose last piece is longest."""
+def fold(words: list[str], pieces: Pieces) -> list[bytes]:
+    """The ids of each word's best path, as the bytes of 32-bit numbers, so that texts are joins of words."""
     if not words:
         return []
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -166,16 +166,16 @@ def fold(words: list[str], pieces: Pieces) -> list[list[int]]:
     rows = order[rows]
     along = np.argsort(rows, kind="stable")  # pieces of a word stand together, first to last
     rows, places, begins = rows[along], places[along], begins[along]
-    flat = pieces.ids[places].tolist()
-    ends = np.searchsorted(rows, np.arange(n), "right").tolist()
-    out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    flat = pieces.ids[places]
+    raw, ends = flat.tobytes(), np.searchsorted(rows, np.arange(n), "right")
+    out = [raw[a:b] for a, b in zip([0, *(4 * ends).tolist()], (4 * ends).tolist(), strict=False)]
     for row in np.unique(rows[places < 0]).tolist():  # characters outside the table: their bytes
         at = range(ends[row - 1] if row else 0, ends[row])
-        out[row] = [i for k in at for i in ([flat[k]] if places[k] >= 0 else pieces.bytes_[list(words[row][begins[k]].encode())].tolist())]
+        out[row] = b"".join(flat[k].tobytes() if places[k] >= 0 else pieces.bytes_[list(words[row][begins[k]].encode())].tobytes() for k in at)
     return out
 
 
-def fold_long(word: str, pieces: Pieces) -> list[int]:
+def fold_long(word: str, pieces: Pieces) -> bytes:
     """The same for one word of any length."""
     n = len(word)
     best, via = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
@@ -189,9 +189,9 @@ def fold_long(word: str, pieces: Pieces) -> list[int]:
     parts, at = [], n
     while at:
         begin, p = via[at]
-        parts.append([int(pieces.ids[p])] if p >= 0 else pieces.bytes_[list(word[begin].encode())].tolist())
+        parts.append(pieces.ids[p].tobytes() if p >= 0 else pieces.bytes_[list(word[begin].encode())].tobytes())
         at = begin
-    return [i for part in reversed(parts) for i in part]
+    return b"".join(reversed(parts))
 
 
 _SPLIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
@@ -207,7 +207,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [split(t) for t in texts]
@@ -219,7 +219,7 @@ class Encoder:
                 self.kept[w] = fold_long(w, self.pieces)
         for at in range(0, len(short), 20_000):
             self.kept.update(zip(short[at : at + 20_000], fold(short[at : at + 20_000], self.pieces), strict=True))
-        out = [np.fromiter(chain.from_iterable(map(self.kept.__getitem__, words)), np.int32) for words in cut]
+        out = [np.frombuffer(b"".join(map(self.kept.__getitem__, words)), np.int32) for words in cut]
         for w in [w for w in new if len(w) > KEPT_CHARS] + [w for w in new if len(w) <= KEPT_CHARS][room:]:
             del self.kept[w]
         return out

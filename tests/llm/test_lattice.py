@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -54,8 +55,8 @@ def test_relational_form_equals_the_batch_form(spark, pieces):
     df = spark.createDataFrame([(w,) for w in [*words, words[0], None, ""]], "word string")
     out = dict(lattice.encode_words(df, pieces.table(spark), longest=pieces.longest, unknown=pieces.least - lattice.UNKNOWN).collect())
     assert out.pop("") == [] and sorted(out) == words
-    for w, ids in zip(words, lattice.fold(words, pieces), strict=True):
-        parts = out[w]
+    for w, raw in zip(words, lattice.fold(words, pieces), strict=True):
+        ids, parts = np.frombuffer(raw, np.int32).tolist(), out[w]
         made = [i for p in parts for i in ([int(pieces.ids[pieces.rank[p]])] if p in pieces.rank else pieces.bytes_[list(p.encode())].tolist())]
         assert "".join(parts) == w and (made == ids or total(made, pieces) == pytest.approx(total(ids, pieces)))
 
