@@ -28,6 +28,8 @@ SEED = 42
 SMALL = 8
 #: Buckets of more nodes are cut into chunks of about so many, and every two chunks meet in a task of their own.
 CHUNK = 1 << 18
+#: Groups of texts of more words are cut into chunks of about so many, and every two chunks meet in a task of their own.
+WORDS = 1 << 20
 
 
 def shingle_hashes(text: str | None, n: int) -> list[int]:
@@ -121,6 +123,13 @@ def bucket_links(choice: np.ndarray, found: np.ndarray, block: np.ndarray, masks
     return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
 
 
+def meetings(node: Column, parts: Column) -> Column:
+    """The blocks that a node goes to, so that any two nodes meet in one: a block for each pair of parts."""
+    own = F.pmod(F.xxhash64(node), parts).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.least(own, k) * parts + F.greatest(own, k))
+    return F.when(parts == 1, F.array(F.lit(0))).otherwise(meets)
+
+
 def links(nodes: DataFrame, *, distance: int = 4, blocks: int = 7, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) of nodes with fingerprints (columns ``node``, ``fp``), enough to join all that are within the distance.
 
@@ -167,9 +176,7 @@ def links(nodes: DataFrame, *, distance: int = 4, blocks: int = 7, chunk: int =
     # at most one row for each ``chunk`` rows dealt, so it is broadcast; mostly it is empty
     large = dealt.groupBy("choice", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
     dealt = dealt.join(F.broadcast(large), ["choice", "bucket"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(own, k) * F.col("parts") + F.greatest(own, k))
-    dealt = dealt.select("choice", "bucket", "fp", "node", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(meets)).alias("block"))
+    dealt = dealt.select("choice", "bucket", "fp", "node", F.explode(meetings(F.col("node"), F.col("parts"))).alias("block"))
     dealt = dealt.repartition("choice", "bucket", "block").sortWithinPartitions("choice", "bucket", "block", "node")
     return dealt.select("choice", "fp", "node", "block").mapInArrow(run, "a long, b long")
 
@@ -192,38 +199,105 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
 
 
 def word_fingerprints(df: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
-    """Rows of (doc_id, node, text) with fingerprints ``fp0``, ``fp1``... of the set of the text's words, one a seed."""
+    """Rows of (doc_id, node, text) with fingerprints ``fp0``, ``fp1``... of the set of the text's words, one a seed, and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, sizes = [], []
             for t in batch.column(2):
-                distinct = set((t.as_py() or "").encode().lower().split())
+                words = (t.as_py() or "").encode().lower().split()
+                distinct = set(words)
                 found.append([majority([xxhash.xxh64_intdigest(w, seed) for w in distinct]) for seed in seeds])
+                sizes.append(len(words))
             each = np.array(found, np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(each[:, k].copy()) for k in range(len(seeds)))], names=["doc_id", "node", *(f"fp{k}" for k in range(len(seeds)))])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(each[:, k].copy()) for k in range(len(seeds)))], names=["doc_id", "node", "words", *(f"fp{k}" for k in range(len(seeds)))])
 
     fields = ", ".join(f"fp{k} long" for k in range(len(seeds)))
-    return df.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node long, {fields}")
+    return df.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node long, words long, {fields}")
 
 
 def shingle_sets(df: DataFrame, *, shingle: int) -> DataFrame:
-    """For each row of (node, text) the distinct 32-bit hashes of its runs of words."""
+    """For each row of (root, blocks, node, text) the distinct 32-bit hashes of its runs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), np.uint64).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), np.uint64).astype(np.uint32)).view(np.int32) for t in batch.column(3)]
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(sets, pa.list_(pa.int32()))], names=["root", "blocks", "node", "shingles"])
+
+    return df.select("root", "blocks", "node", "text").mapInArrow(run, "root long, blocks array<int>, node long, shingles array<int>")
+
+
+def similar_tree(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (positions) that join whatever of the sets is joined by pairs of the Jaccard similarity or more.
+
+    The sets lie one after the other in ``flat``. A set is reached by a verified
+    link only, and is compared until then with every set that was reached or began a walk.
+    """
+    _, ids = np.unique(flat, return_inverse=True)
+    holders = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(ids, kind="stable")]
+    ends = np.cumsum(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+    begins = np.r_[0, ends[:-1]] if len(ends) else ends
+    place = np.r_[0, np.cumsum(sizes)]
+    a, b = [], []
+    left = np.arange(len(sizes))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            mine = ids[place[at] : place[at + 1]]
+            lists = [holders[x:y] for x, y in zip(begins[mine], ends[mine], strict=True)]
+            shared = np.bincount(np.concatenate(lists), minlength=len(sizes))[left] if lists else np.zeros(len(left), np.int64)
+            near = shared >= similarity * (sizes[at] + sizes[left] - shared)
+            reached = left[near]
+            if len(reached):
+                a += [at] * len(reached)
+                b += reached.tolist()
+                queue += reached.tolist()
+                left = left[~near]
+    return a, b
+
+
+def similar_links(sets: DataFrame, *, similarity: float) -> DataFrame:
+    """Links (a, b), enough to join all sets (root, block, node, shingles) of one root and block that pairs of the similarity join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of the last root and block so far
+
+        def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            node = np.concatenate([p.column(2).to_numpy() for p in parts])
+            flat = np.concatenate([p.column(3).flatten().to_numpy() for p in parts])
+            sizes = np.concatenate([p.column(3).value_lengths().to_numpy() for p in parts]).astype(np.int64)
+            a, b = similar_tree(flat, sizes, similarity)
+            if len(a):
+                yield pa.record_batch([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            root, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held and (held[-1].column(0)[-1].as_py() != root[0] or held[-1].column(1)[-1].as_py() != block[0]):
+                yield from out(held)
+                held = []
+            edges = [0, *(np.flatnonzero((root[1:] != root[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
+            for start, end in zip(edges, edges[1:], strict=False):
+                yield from out([*held, batch.slice(start, end - start)])
+                held = []
+            held.append(batch.slice(edges[-1]))
+        if held:
+            yield from out(held)
 
-    return df.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+    dealt = sets.repartition("root", "block").sortWithinPartitions("root", "block", "node")
+    return dealt.select("root", "block", "node", "shingles").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 8, seeds: tuple[int, ...] = (SEED, SEED + 1)) -> DataFrame:
+def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 8, seeds: tuple[int, ...] = (SEED, SEED + 1), chunk: int = WORDS) -> DataFrame:
     """The rows, whole, less near-duplicates: of each group of linked documents the one with the least key stays.
 
-    Equal texts are linked. Others are linked if the fingerprints of their sets
-    of words, of either seed, differ in at most ``distance`` bits and, verified, their sets of
-    ``shingle``-word runs have a Jaccard similarity of ``similarity`` or more.
+    Equal texts are linked. Texts whose sets of words have fingerprints, of
+    either seed, that differ in at most ``distance`` bits are joined to groups,
+    and in a group all texts are linked whose sets of ``shingle``-word runs have,
+    verified, a Jaccard similarity of ``similarity`` or more; a group of more
+    than ``chunk`` words is cut into chunks that meet in pairs.
     Words rather than runs make the fingerprint, since one changed word changes
     ``shingle`` runs and so about five times the share of what the fingerprint
     sums up; a second seed finds most of the pairs that the first one misses, at
@@ -234,15 +308,15 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, dis
     small_batches(df.sparkSession)
     rows = df.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__node")).withColumn("__home", F.xxhash64("doc_id", "__node"))
     plain = rows.select("doc_id", "text", F.col("__node").alias("node"), F.col("__home").alias("home"))
-    found = cut(word_fingerprints(plain, seeds).groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))))
+    found = cut(word_fingerprints(plain, seeds).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("words").alias("words"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))))
     near = reduce(DataFrame.union, (links(found.select("node", F.col(f"fp{k}").alias("fp")), distance=distance, blocks=blocks) for k in range(len(seeds))))
-    pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node").select(F.xxhash64("least", "node").alias("home"))
-    sets = shingle_sets(plain.join(ends, "home", "left_semi"), shingle=shingle).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    of_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = of_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    close = both.where(shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    groups = components(near).join(found, "node").select("root", "node", "words", F.xxhash64("least", "node").alias("home"))
+    # groups are few beside their members, and mostly none is so large
+    large = groups.groupBy("root").agg(F.sum("words").alias("n")).where(F.col("n") > chunk)
+    parted = groups.join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
+    dealt = parted.select("root", "home", meetings(F.col("node"), F.col("parts")).alias("blocks"))
+    sets = shingle_sets(plain.join(dealt, "home"), shingle=shingle).select("root", F.explode("blocks").alias("block"), "node", "shingles")
+    close = similar_links(sets, similarity=similarity)
     members = components(close).join(found, "node").select("node", "root", F.struct(F.col("least").isNull().alias("null"), "least", "node").alias("place"))
     losers = members.join(members.groupBy("root").agg(F.min("place").alias("first")), "root").where(F.col("node") != F.col("first.node")).select("node")
     kept = found.join(losers, "node", "left_anti").select(F.xxhash64("least", "node").alias("__home"))

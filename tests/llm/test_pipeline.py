@@ -1,7 +1,10 @@
+import random
 import re
 
 import corpus_pipeline
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gaugeline.llm import lattice, mixing, quality, simhash
@@ -104,3 +107,57 @@ def test_stages_take_odd_rows(spark, docs, odd):
         assert stage(spark, df, FOLDER).count() > 0
         assert stage(spark, df.limit(0), FOLDER).count() == 0
     assert lattice.encode(df, corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model")).count() == len(odd) + 2
+
+
+def brute_groups(texts, similarity=0.8):
+    """The least position of each group of texts that pairs of the similarity join."""
+    sets = []
+    for text in texts:
+        w = text.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    first = list(range(len(texts)))
+
+    def top(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(x & y)
+            if both >= similarity * (len(x) + len(y) - both):
+                a, b = sorted((top(i), top(j)))
+                first[b] = a
+    return {top(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("chunk", [simhash.WORDS, 5000])
+def test_many_edited_copies(spark, docs, chunk):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(150):
+        share = rng.uniform(0, 0.05)
+        texts.append(" ".join(f"e{rng.randrange(10**9)}" if rng.random() < share else w for w in base))
+    got = {r.doc_id for r in simhash.one_of_each(docs(texts), chunk=chunk).collect()}
+    # texts may stay where no fingerprint comes near, but none of the group that the fingerprints join
+    fps = [[simhash.majority([xxhash.xxh64_intdigest(w.encode(), s) for w in set(t.split())]) for s in (simhash.SEED, simhash.SEED + 1)] for t in texts]
+    loose = simhash_groups(fps)
+    want = {m for g in loose for m in (g[k] for k in brute_groups([texts[i] for i in g]))}
+    assert got == want
+
+
+def simhash_groups(fps, distance=5):
+    """Positions joined by either fingerprint, each group in order."""
+    left, out = set(range(len(fps))), []
+    while left:
+        queue = [left.pop()]
+        group = set(queue)
+        while queue:
+            at = queue.pop()
+            near = {j for j in left if any((x ^ y).bit_count() <= distance for x, y in zip(fps[at], fps[j], strict=True))}
+            left -= near
+            group |= near
+            queue += near
+        out.append(sorted(group))
+    return out
