@@ -30,6 +30,8 @@ SMALL = 8
 CHUNK = 1 << 18
 #: Groups of texts of more words are cut into chunks of about so many, and every two chunks meet in a task of their own.
 WORDS = 1 << 20
+#: Groups of least hashes that make a candidate where all of one agree, and hashes a group.
+BANDS, ROWS = 24, 6
 
 
 def shingle_hashes(text: str | None, n: int) -> list[int]:
@@ -198,22 +200,41 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     return found.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_fingerprints(df: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
-    """Rows of (doc_id, node, text) with fingerprints ``fp0``, ``fp1``... of the set of the text's words, one a seed, and the number of words."""
+def band_keys(hashes: list[int], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """For each band a 64-bit mix of the least values of the hashes under ``rows`` of its own multipliers; none of no hashes.
+
+    Two sets agree in one such value with a probability of their Jaccard
+    similarity, whatever their sizes and wherever they differ.
+    """
+    if not hashes:
+        return np.zeros(0, np.uint64)
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    offsets = rng.integers(0, 1 << 63, bands * rows, np.uint64)
+    x = np.array(hashes, np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for at in range(0, len(x), 2048):
+        least = np.minimum(least, (x[None, at : at + 2048] * factors[:, None] + offsets[:, None]).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows))], np.uint64)
+
+
+def word_fingerprints(df: DataFrame, seeds: tuple[int, ...], shingle: int) -> DataFrame:
+    """Rows of (doc_id, node, text) with fingerprints ``fp0``, ``fp1``... of the set of the text's words, one a seed, the number of words and the band keys of the runs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
+            found, sizes, bands = [], [], []
             for t in batch.column(2):
+                bands.append(band_keys(shingle_hashes(t.as_py(), shingle)).view(np.int64))
                 words = (t.as_py() or "").encode().lower().split()
                 distinct = set(words)
                 found.append([majority([xxhash.xxh64_intdigest(w, seed) for w in distinct]) for seed in seeds])
                 sizes.append(len(words))
             each = np.array(found, np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(each[:, k].copy()) for k in range(len(seeds)))], names=["doc_id", "node", "words", *(f"fp{k}" for k in range(len(seeds)))])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(each[:, k].copy()) for k in range(len(seeds)))], names=["doc_id", "node", "words", "bands", *(f"fp{k}" for k in range(len(seeds)))])
 
     fields = ", ".join(f"fp{k} long" for k in range(len(seeds)))
-    return df.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node long, words long, {fields}")
+    return df.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node long, words long, bands array<long>, {fields}")
 
 
 def shingle_sets(df: DataFrame, *, shingle: int) -> DataFrame:
@@ -295,21 +316,24 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, dis
 
     Equal texts are linked. Texts whose sets of words have fingerprints, of
     either seed, that differ in at most ``distance`` bits are joined to groups,
+    as are texts whose sets of runs agree in a band of least hashes,
     and in a group all texts are linked whose sets of ``shingle``-word runs have,
     verified, a Jaccard similarity of ``similarity`` or more; a group of more
     than ``chunk`` words is cut into chunks that meet in pairs.
     Words rather than runs make the fingerprint, since one changed word changes
     ``shingle`` runs and so about five times the share of what the fingerprint
-    sums up; a second seed finds most of the pairs that the first one misses, at
-    twice the rows, where a larger distance would fill the buckets. Texts without words are one group. A null key counts as the
+    sums up. A passage more or less moves a fingerprint further, at the same
+    similarity; such pairs are found by the bands, of which two texts of
+    similarity 0.8 share one with a probability of 0.999. Texts without words are one group. A null key counts as the
     greatest; of rows that agree in key and text any one stays. Other columns go
     along; an empty table gives no rows.
     """
     small_batches(df.sparkSession)
     rows = df.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__node")).withColumn("__home", F.xxhash64("doc_id", "__node"))
     plain = rows.select("doc_id", "text", F.col("__node").alias("node"), F.col("__home").alias("home"))
-    found = cut(word_fingerprints(plain, seeds).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("words").alias("words"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))))
+    found = cut(word_fingerprints(plain, seeds, shingle).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("words").alias("words"), F.min("bands").alias("bands"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))))
     near = reduce(DataFrame.union, (links(found.select("node", F.col(f"fp{k}").alias("fp")), distance=distance, blocks=blocks) for k in range(len(seeds))))
+    near = near.union(links(found.select("node", F.explode("bands").alias("fp")), distance=0, blocks=1))
     groups = components(near).join(found, "node").select("root", "node", "words", F.xxhash64("least", "node").alias("home"))
     # groups are few beside their members, and mostly none is so large
     large = groups.groupBy("root").agg(F.sum("words").alias("n")).where(F.col("n") > chunk)

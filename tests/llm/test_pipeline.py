@@ -161,3 +161,17 @@ def simhash_groups(fps, distance=5):
             queue += near
         out.append(sorted(group))
     return out
+
+
+def test_copies_with_a_passage_more_or_less(spark, docs):
+    rng = random.Random(3)
+
+    def text(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    rows = []
+    for i in range(0, 240, 2):
+        base = text(200)
+        other = [base + text(40), base[:-30], base[30:]][i // 2 % 3]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(other))]
+    assert {r.doc_id for r in simhash.one_of_each(docs(rows)).collect()} == set(range(0, 240, 2))
