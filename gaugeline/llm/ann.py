@@ -5,8 +5,9 @@ index has cells (k-means) and a product quantiser of four-bit codes for what is
 left of a vector within its cell. Codes are chosen by an anisotropic loss: error
 parallel to the vector, which shifts the large inner products, costs ``eta`` times
 what error across it does. A query scans the codes of its nearest cells with
-tables of partial products, and the best of each part are ranked again by exact
-cosine of the original vectors.
+tables of partial products, and of each part all rows are ranked again by exact
+cosine of the original vectors that could, by the measured error of their codes,
+be among the best of the part.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql.window import Window
 
 #: Vectors the index is fitted on at most, cells, dimensions a code, threshold of the anisotropic loss.
 SAMPLE, CELLS, STEP, THRESHOLD = 16384, 32, 2, 0.2
-#: Rows of a cell that one task scans, queries that it holds, candidates of a part that are ranked again.
-PART, QUERIES, RERANKED = 4096, 16384, 400
+#: Rows of a cell that one task scans, queries that it holds.
+PART, QUERIES = 4096, 16384
+#: What sums of table entries in single precision may be off, at most.
+ROUNDING = 1e-4
 #: Share of true neighbours that the probed cells have to hold, on the sample.
 PROBED = 0.997
 
@@ -56,6 +59,11 @@ class Index:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return cell, codes[:, ::2] << 4 | codes[:, 1::2]
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """What packed codes stand for, as (rows, subspaces, STEP)."""
+        single = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)[:, : len(self.books)]
+        return self.books[np.arange(len(self.books))[None], single]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Partial products of each query with every pair of codes: (queries, bytes, 256)."""
         single = np.einsum("qsd,skd->qsk", self.split(q), self.books)
@@ -145,7 +153,12 @@ def best(scores: np.ndarray, count: int) -> np.ndarray:
 
 
 def scan(index: Index, rows: pd.DataFrame, queries: pd.DataFrame, near: int) -> Iterator[tuple]:
-    """The best of one part of a cell for each of the queries that probe it."""
+    """The best of one part of a cell for each of the queries that probe it.
+
+    A row's cosine is the cell centre's product, its table score, and at most
+    the length of its quantisation error (the query has length one) more. The
+    best by score set a floor; all rows that can reach it are ranked exactly.
+    """
     if not len(rows) or not len(queries):
         return
     rows = rows.sort_values("vec_id", kind="stable")
@@ -153,6 +166,8 @@ def scan(index: Index, rows: pd.DataFrame, queries: pd.DataFrame, near: int) ->
     vectors = _matrix(rows["vector"], index.size)
     unit = _unit(vectors)
     codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
+    centre = index.centres[rows["cell"].to_numpy()[0]]
+    error = np.sqrt(((index.split(unit - centre) - index.decode(codes)) ** 2).sum(axis=(1, 2)))
     for at in range(0, len(queries), 256):
         some = queries.iloc[at : at + 256]
         asked = _unit(_matrix(some["vector"], index.size))
@@ -161,8 +176,11 @@ def scan(index: Index, rows: pd.DataFrame, queries: pd.DataFrame, near: int) ->
         for k in range(codes.shape[1]):
             found += np.take(tables[:, k], codes[:, k], axis=1)
         for i, q in enumerate(some["vec_id"].to_numpy()):
-            spot = best(found[i], RERANKED + 1)
-            spot = spot[ids[spot] != q]
+            first = best(found[i], near + 1)
+            first = first[ids[first] != q]
+            sure = np.sort((unit[first] * asked[i]).sum(axis=1))[::-1]
+            floor = sure[near - 1] if len(sure) >= near else -np.inf
+            spot = np.flatnonzero((found[i] + error + asked[i] @ centre >= floor - ROUNDING) & (ids != q))
             exact = (unit[spot] * asked[i]).sum(axis=1)
             for j in best(exact, near):
                 yield q, ids[spot[j]], exact[j]

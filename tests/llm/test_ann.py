@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,22 @@ def test_odd_rows(spark):
     assert [r.vec_id for r in out if r.query_id == 0] == [3, 4, 1, 50, 2] and {r.query_id for r in out} == {0, 50}
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.where("vec_id = 0")).count() == 0
+
+
+def test_scan_of_a_tight_cluster_is_exact():
+    rng = np.random.default_rng(4)
+    tight = rng.normal(size=64) + 0.02 * rng.normal(size=(20000, 64))
+    x = ann._unit(np.concatenate([tight, rng.normal(size=(40000, 64))]))
+    index = ann.fit(x[rng.choice(len(x), 8000, replace=False)], rounds=3)
+    cell, codes = index.encode(x[:20000])
+    at = np.flatnonzero(cell == np.bincount(cell).argmax())[: ann.PART]
+    assert len(at) > 3000
+    rows = pd.DataFrame({"cell": cell[at], "vec_id": at, "vector": [x[i].tobytes() for i in at], "codes": [codes[i].tobytes() for i in at]})
+    asked = at[:40]
+    got = {}
+    for q, v, _ in ann.scan(index, rows, rows.iloc[:40], 5):
+        got.setdefault(q, set()).add(v)
+    for q in asked:
+        scores = x[at] @ x[q]
+        order = at[np.argsort(-scores)]
+        assert got[q] == set(order[order != q][:5])
