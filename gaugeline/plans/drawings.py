@@ -369,8 +369,8 @@ def occupancy_cells(spark, sf_dir):
 
 
 def _readings(spark, sf_dir):
-    """Three readings of each drawing: one as is, one that misses some, one that misreads some."""
-    rows = chars(spark, sf_dir).where("id <= 6")
+    """Three readings of all callouts of each drawing: one as is, one that misses some, one that misreads some."""
+    rows = chars(spark, sf_dir)
     misread = F.when(F.col("pp") < 30, F.col("nominal") * 3).otherwise(F.col("nominal"))
     return rows.withColumn("run", F.lit(0)).unionByName(rows.where("pp >= 20").withColumn("run", F.lit(1))).unionByName(rows.where("pp >= 10").withColumn("nominal", misread).withColumn("run", F.lit(2)))
 
@@ -384,7 +384,7 @@ def merge_by_vote(spark, sf_dir):
 @register("dedupe_readings")
 def dedupe_readings(spark, sf_dir):
     """Readings of overlapping crops without repeats (no SQL: greedy)."""
-    rows = _readings(spark, sf_dir).where("run < 2").withColumn("order", F.col("run") * 100 + F.col("id"))
+    rows = _readings(spark, sf_dir).where("run < 2").withColumn("order", F.struct("run", "id"))
     return layout.dedupe(rows, order="order")
 
 

@@ -5,8 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from gaugeline.plans import registry
+from gaugeline.plans import drawings, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,3 +45,24 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert rows == sorted([plain(r[i]) for i in order] for r in found.fetchall())
+
+
+def test_readings_hold_every_callout(spark):
+    every = drawings.chars(spark, FOLDER)
+    assert every.where("id > 6").count() > 0
+    first = drawings._readings(spark, FOLDER).where("run = 0")
+    assert first.count() == every.count()
+    places = registry.queries()["dedupe_readings"](spark, FOLDER).groupBy("drawing_id").agg(F.max("place").alias("m"))
+    sizes = drawings._readings(spark, FOLDER).where("run < 2").groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"))
+    assert places.join(sizes, "drawing_id").where("m >= n").count() == 0 and places.where("m >= 6").count() > 0
+
+
+def test_votes_reach_every_callout(spark):
+    """Callouts past the sixth can win a vote."""
+    rows = drawings._readings(spark, FOLDER).collect()
+    of = {}
+    for r in sorted(rows, key=lambda r: (r.drawing_id, r.run, r.id)):
+        of.setdefault(r.drawing_id, []).append(r)
+    large = {d: v for d, v in of.items() if any(r.id > 6 for r in v)}
+    voted = {(r.drawing_id, r.place) for r in registry.queries()["merge_by_vote"](spark, FOLDER).collect()}
+    assert large and any(v[place].id > 6 for d, v in large.items() for place in range(len(v)) if (d, place) in voted)
