@@ -33,6 +33,13 @@ def image_for_truth(spark, sf_dir):
     return files.image_of(every.where("path LIKE '%.json' AND path LIKE '/run/3/%'"), every)
 
 
+@register("image_for_every_truth")
+def image_for_every_truth(spark, sf_dir):
+    """``image_for_truth`` looks up the files of '/run/3/' only, one drawing in ten, as its SQL does; this one looks up all (no SQL)."""
+    every = listing(spark, sf_dir)
+    return files.image_of(every.where("path LIKE '%.json'"), every)
+
+
 @register("truth_for_image", duck(f"WITH l AS ({LISTING}) SELECT p.path, j.path AS truth FROM l p LEFT JOIN l j ON j.path LIKE '%.json' AND j.path = concat(regexp_extract(p.path, '^(/run/\\d/d\\d+)_', 1), '.json') WHERE p.path LIKE '%.png'"))
 def truth_for_image(spark, sf_dir):
     every = listing(spark, sf_dir)

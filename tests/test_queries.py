@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.plans import drawings, registry
+from gaugeline.plans import drawings, files, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,3 +66,14 @@ def test_votes_reach_every_callout(spark):
     large = {d: v for d, v in of.items() if any(r.id > 6 for r in v)}
     voted = {(r.drawing_id, r.place) for r in registry.queries()["merge_by_vote"](spark, FOLDER).collect()}
     assert large and any(v[place].id > 6 for d, v in large.items() for place in range(len(v)) if (d, place) in voted)
+
+
+def test_every_truth_has_its_image(spark):
+    paths = [r.path for r in files.listing(spark, FOLDER).collect()]
+    images = {}
+    for p in sorted(paths, reverse=True):
+        if p.endswith(".png") and not p.endswith("_overlay.png"):
+            images[p.split("_")[0]] = p
+    want = {p: images.get(p.removesuffix(".json")) for p in paths if p.endswith(".json")}
+    got = {r.path: r.image for r in registry.queries()["image_for_every_truth"](spark, FOLDER).collect()}
+    assert got == want and len({p.split("/")[2] for p in got}) == 10
