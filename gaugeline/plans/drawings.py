@@ -50,6 +50,7 @@ SELECT drawing_id, 'numbering' AS reason FROM k GROUP BY 1 HAVING count(id) <> c
 UNION SELECT drawing_id, 'datum not declared' FROM r WHERE feature_type IS NULL UNION SELECT drawing_id, 'modifier on a datum without size' FROM r WHERE modifier IS NOT NULL AND feature_type NOT IN ({quoted(SIZED_DATUMS)})"""),
 )
 def drawing_faults(spark, sf_dir):
+    """Callouts with hh % 25 = 3 are left out, here and in the SQL, to plant gaps in the numbering; their own faults are not reported."""
     return rules.drawing_faults(chars(spark, sf_dir).where("hh % 25 <> 3"), view(spark, sf_dir, "datum"))
 
 
@@ -467,6 +468,7 @@ def drop_characteristic(spark, sf_dir):
 
 @register("new_findings", duck("SELECT r.drawing_id, r.label FROM datum_ref r ANTI JOIN datum d USING (drawing_id, label) WHERE r.modifier IS NULL EXCEPT SELECT drawing_id, label FROM datum_ref WHERE pos = 2 AND drawing_id % 2 = 0"))
 def new_findings(spark, sf_dir):
+    """The baseline, here and in the SQL, is planted: third references of drawings with an even id."""
     refs = view(spark, sf_dir, "datum_ref")
     damaged = refs.where("modifier IS NULL").join(view(spark, sf_dir, "datum"), [KEY, "label"], "left_anti").select(KEY, "label")
     return perturb.new_findings(damaged, refs.where("pos = 2 AND drawing_id % 2 = 0").select(KEY, "label"))
