@@ -231,6 +231,8 @@ def read_pages(data: bytes) -> Iterator[Page]:
 def _page(number: int, data: bytes, tags: dict[int, tuple], order: str) -> Page:
     def first(tag: int, default: int | None = None) -> int:
         if tag in tags:
+            if not tags[tag] or not isinstance(tags[tag][0], int):
+                raise TiffError(f"tag {tag} is not a number")
             return tags[tag][0]
         if default is None:
             raise TiffError(f"tag {tag} is missing")
@@ -371,7 +373,7 @@ def tiff_pages(df: DataFrame, *, media: str = "media") -> DataFrame:
             for p in read_pages(data):
                 h, w, n = p.pixels.shape
                 yield p.number, h, w, n, p.bits, p.compression, p.predictor, p.pieces, p.tiled, p.pixels.astype(p.pixels.dtype.newbyteorder("<"), copy=False).tobytes(), feature(p), None
-        except (TiffError, ValueError, OverflowError, MemoryError) as e:
+        except (ValueError, LookupError, TypeError, OverflowError, MemoryError) as e:
             yield (*[None] * 11, str(e) or type(e).__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

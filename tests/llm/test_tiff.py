@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -57,3 +58,79 @@ def test_documents(spark, docs, odd):
     assert hashlib.sha256(by[5].media).digest() == hashlib.sha256(by[10].media).digest() and by[5].feature == by[10].feature
     assert zlib.crc32(bytes(by[0].pixels)[-16:]) == zlib.crc32(b" " * 16)
     assert tiff.tiff_pages(tiff.texts_to_tiff(rows.limit(0))).count() == 0
+
+
+def entry(order, tag, kind, many, value):
+    return struct.pack(order + "HHI", tag, kind, many) + value.ljust(4, b"\0")
+
+
+def by_hand(order, entries, data):
+    """A classic file: header, one directory, then ``data`` at offset 8 + directory size."""
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)
+    return head + struct.pack(order + "H", len(entries)) + b"".join(entries) + struct.pack(order + "I", 0) + data
+
+
+def offset(entries):
+    return 8 + 2 + 12 * entries + 4
+
+
+def test_lzw_strip_written_by_hand():
+    # codes of nine bits: clear, 7, 7 7 (258), 8, end; pixels 7 7 7 8
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 257)).ljust(48, "0")
+    strip = int(bits, 2).to_bytes(6, "big")
+    at = struct.pack(">I", offset(8))
+    short = lambda v: struct.pack(">H", v)
+    e = [entry(">", 256, 3, 1, short(4)), entry(">", 257, 3, 1, short(1)), entry(">", 258, 3, 1, short(8)), entry(">", 259, 3, 1, short(5)), entry(">", 262, 3, 1, short(1)), entry(">", 273, 4, 1, at), entry(">", 278, 3, 1, short(1)), entry(">", 279, 4, 1, struct.pack(">I", 6))]
+    (page,) = tiff.read_pages(by_hand(">", e, strip))
+    assert page.pixels[:, :, 0].tolist() == [[7, 7, 7, 8]] and page.compression == tiff.LZW
+
+
+def test_planar_tiles_written_by_hand():
+    # two samples in planes of their own, 3 x 2 pixels in tiles of 2 x 2 (rounded up), plain
+    planes = [np.arange(1, 7).reshape(2, 3), np.arange(11, 17).reshape(2, 3)]
+    tiles = [np.pad(p[:, c : c + 2], ((0, 0), (0, 2 - p[:, c : c + 2].shape[1]))).astype(np.uint8).tobytes() for p in planes for c in (0, 2)]
+    n = 11
+    base = offset(n)
+    offsets, counts = base + 16, base + 32
+    data = b"".join(tiles) + struct.pack("<4I", *(base + 4 * k for k in range(4))) + struct.pack("<4I", 4, 4, 4, 4)
+    short = lambda v: struct.pack("<H", v)
+    e = [entry("<", 256, 3, 1, short(3)), entry("<", 257, 3, 1, short(2)), entry("<", 258, 3, 2, struct.pack("<HH", 8, 8)), entry("<", 259, 3, 1, short(1)), entry("<", 262, 3, 1, short(1)), entry("<", 277, 3, 1, short(2)), entry("<", 284, 3, 1, short(2)), entry("<", 322, 3, 1, short(2)), entry("<", 323, 3, 1, short(2)), entry("<", 324, 4, 4, struct.pack("<I", offsets)), entry("<", 325, 4, 4, struct.pack("<I", counts))]
+    (page,) = tiff.read_pages(by_hand("<", e, data))
+    assert page.tiled and page.pixels[:, :, 0].tolist() == planes[0].tolist() and page.pixels[:, :, 1].tolist() == planes[1].tolist()
+
+
+def test_float_predictor_written_by_hand():
+    values = np.array([[1.5, -2.25, 1e10]], "<f4")
+    planes = values.astype(">f4").view(np.uint8).reshape(3, 4).T.reshape(-1)  # all first bytes, then all second ones
+    packed = zlib.compress(np.diff(planes.astype(np.int64), prepend=0).astype(np.uint8).tobytes())
+    short, long = (lambda v: struct.pack("<H", v)), (lambda v: struct.pack("<I", v))
+    e = [entry("<", 256, 3, 1, short(3)), entry("<", 257, 3, 1, short(1)), entry("<", 258, 3, 1, short(32)), entry("<", 259, 3, 1, short(8)), entry("<", 262, 3, 1, short(1)), entry("<", 273, 4, 1, long(offset(10))), entry("<", 278, 3, 1, short(1)), entry("<", 279, 4, 1, long(len(packed))), entry("<", 317, 3, 1, short(3)), entry("<", 339, 3, 1, short(3))]
+    (page,) = tiff.read_pages(by_hand("<", e, packed))
+    assert page.pixels[0, :, 0].tolist() == values[0].tolist()
+
+
+def test_big_file_written_by_hand():
+    def wide(tag, kind, value):
+        return struct.pack("<HHQ", tag, kind, 1) + value.ljust(8, b"\0")
+
+    e = [wide(256, 3, b"\2\0"), wide(257, 3, b"\1\0"), wide(258, 3, b"\x08\0"), wide(259, 3, b"\1\0"), wide(273, 16, struct.pack("<Q", 16 + 8 + 20 * 6 + 8)), wide(279, 16, struct.pack("<Q", 2))]
+    data = b"II" + struct.pack("<HHHQ", 43, 8, 0, 16) + struct.pack("<Q", 6) + b"".join(e) + struct.pack("<Q", 0) + b"\x05\x09"
+    (page,) = tiff.read_pages(data)
+    assert page.pixels[0, :, 0].tolist() == [5, 9]
+
+
+def test_faulty_entries_give_an_error_row(spark):
+    """Every entry's kind, count and value spoiled in turn: each file gives its row, none ends the job."""
+    good = tiff.write_tiff([np.zeros((2, 2, 1), np.uint8)], compression=tiff.PLAIN, predictor=1)
+    (at,) = struct.unpack_from("<I", good, 4)
+    (n,) = struct.unpack_from("<H", good, at)
+    files = []
+    for k in range(n):
+        spot = at + 2 + 12 * k
+        for where, form, values in ((2, "H", (0, 2, 5, 11, 12, 99)), (4, "I", (0, 2, 2**31)), (8, "I", (0, 2**32 - 1, 77))):
+            for v in values:
+                bad = bytearray(good)
+                struct.pack_into("<" + form, bad, spot + where, v)
+                files.append(bytes(bad))
+    out = tiff.tiff_pages(spark.createDataFrame(list(enumerate(files)), "id long, media binary")).collect()
+    assert {r.id for r in out} == set(range(len(files))) and sum(r.error is not None for r in out) > len(files) // 3
