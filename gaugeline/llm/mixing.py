@@ -42,6 +42,8 @@ def targets(sizes: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = M
     size; the level is the one at which targets add up to all sizes. A source
     is at its limit exactly if all targets at the level of its own limit do not
     exceed the total, so one pass in order of limit by weight finds them all.
+    That pass is one task over one row a source: sources are labels, some
+    thousands of them, not pages or domains.
     """
     listed = F.array(*(F.lit(int(w)) for w in weights))
     named = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -60,10 +62,16 @@ def targets(sizes: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = M
     return level.select("source", "source_size", target.alias("target"), offset(F.col("source"), seed).alias("shift"))
 
 
+def chunk_of(rows: DataFrame, chunks: int) -> Column:
+    """The chunk of a row by its key: whole numbers by remainder, other keys by hash."""
+    key = F.col("doc_id") if rows.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.coalesce(F.pmod(key.cast("long"), F.lit(chunks)), F.lit(-1))
+
+
 def places(rows: DataFrame, *, weights: Sequence[int], most: int, seed: int, chunks: int) -> DataFrame:
     """(doc_id, source, size) counted, with the place of the first along its source's order and the source's goal."""
     rows = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("stratum", F.floor(F.log((F.col("size") + 1).cast("double")) * F.lit(float(STRATA)))).withColumn("chunk", F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(chunks)), F.lit(-1)))
+    rows = rows.withColumn("stratum", F.floor(F.log((F.col("size") + 1).cast("double")) * F.lit(float(STRATA)))).withColumn("chunk", chunk_of(rows, chunks))
     cells = rows.groupBy("source", "stratum", "chunk").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("size")).alias("words"))
     goals = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights=weights, most=most, seed=seed)
     order = Window.partitionBy("source").orderBy("stratum", "chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,14 +108,15 @@ def mixed_rows(df: DataFrame, *, weights: Sequence[int] = WEIGHTS, most: int = M
     """The rows of the mix, whole, each as often as it is taken; words of ``text`` count as size.
 
     The same copies as ``mix`` gives; rows that agree in doc_id, source and size
-    get theirs in any order.
+    get theirs in any order. Other columns go along, whatever they are called.
     """
-    rows = df.select("*", words(F.col("text")).alias("__size")).withColumn("__home", F.xxhash64("doc_id", F.col("source").cast("string"), "__size"))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__home").orderBy("doc_id", "source", "__size")))
+    home_of = F.md5(F.to_json(F.struct(F.col("doc_id").cast("string").alias("k"), F.col("source").cast("string").alias("s"), "size")))
     sized = df.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
-    placed = places(sized, weights=weights, most=most, seed=seed, chunks=chunks).select(F.xxhash64("doc_id", "source", "size").alias("__home"), F.struct("first", "source_size", "target", "shift").alias("__goal"))
-    taken = rows.join(placed, "__home").withColumn("__copies", copies(F.col("__goal.first") + F.col("__nth") - 1, F.col("__goal"), most))
-    return taken.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*df.columns)
+    placed = places(sized, weights=weights, most=most, seed=seed, chunks=chunks).select(home_of.alias("home"), F.struct("first", "source_size", "target", "shift").alias("goal"))
+    rows = df.select(F.struct("*").alias("row"), words(F.col("text")).alias("size")).select("row", "size", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"))
+    rows = rows.select("row", home_of.alias("home")).withColumn("nth", F.row_number().over(Window.partitionBy("home").orderBy("home")))
+    taken = rows.join(placed, "home").withColumn("copies", copies(F.col("goal.first") + F.col("nth") - 1, F.col("goal"), most))
+    return taken.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 #: The same rows of the query in DuckDB.

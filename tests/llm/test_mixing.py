@@ -47,3 +47,12 @@ def test_odd_rows(spark, docs, odd):
     assert len(out) == len(odd) + 4
     assert all(r.size == 0 and r.taken == 0 for r in out if r.doc_id in (0, 1, 2))
     assert mixing.mix(docs([]).limit(0)).count() == 0
+
+
+def test_keys_that_are_no_numbers_and_clashing_columns(spark):
+    rows = [(f"key-{i}" if i % 7 else None, "w " * (i % 5), f"s{i % 2}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, __size long").withColumn("home", F.lit(1)).withColumn("row", F.lit(2)).withColumn("copies", F.lit(3))
+    out = mixing.mix(df).collect()
+    assert len(out) == 60
+    whole = mixing.mixed_rows(df)
+    assert whole.columns == df.columns and whole.count() == sum(r.copies for r in out)
