@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import small_batches
+from gaugeline.llm.common import labelled_texts, small_batches
 
-#: Hash space of features; documents that the fit takes at most; words that a worker keeps.
+#: Hash space of features; documents, and bytes of their texts, that the fit takes at most; words that a worker keeps.
 SPACE = 1 << 18
-SAMPLE = 6000
+SAMPLE, SAMPLE_BYTES = 6000, 32 << 20
 KEPT_WORDS, KEPT_CHARS = 60_000, 48
 
 _UPPER, _LOWER, _DIGIT = (re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]+", r"[^\W\d_A-ZÀ-ÖØ-Þ]+", r"\d+"))
@@ -32,7 +32,7 @@ _UPPER, _LOWER, _DIGIT = (re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]+", r"[^\W\d_
 def shape(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each; the rest stays, runs of a sign as one."""
     runs = _DIGIT.sub("9", _LOWER.sub("a", _UPPER.sub("A", word)))
-    return re.sub(r"(.)\1+", r"\1", runs)[:12]
+    return re.sub(r"(.)\1+", r"\1", runs)
 
 
 class Words(dict):
@@ -132,16 +132,15 @@ def _emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, count: int, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rated documents, the first by a hash of the key.
+    """Fit on at most ``sample`` rated documents, the first by a hash of the key, of ``SAMPLE_BYTES`` in all.
 
     ``ratings`` has doc_id and grade (0 to count - 1); null keys and grades are
-    dropped, and of several grades of a key the least counts. Texts are read
-    whole; features are made by the workers.
+    dropped, and of several grades or texts of a key the least counts. Texts are
+    read whole; features are made by the workers.
     """
     small_batches(docs.sparkSession)
     rated = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).dropna().where(F.col("grade").between(0, count - 1)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    texts = labelled_texts(docs, rated, "grade", rows=sample, size=SAMPLE_BYTES).select("grade", "text")
     rows = texts.mapInArrow(_emit_features, "grade int, ids binary, values binary").collect()
     rows.sort(key=lambda r: (r.grade, bytes(r.ids)))
     return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r["values"], np.float32)) for r in rows], np.array([r.grade for r in rows], np.int64), count)

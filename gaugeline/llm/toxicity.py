@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import small_batches
+from gaugeline.llm.common import labelled_texts, small_batches
 
 #: Hash space of words, size of an embedding, widths of filters and filters a width.
 SPACE, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: First letters that are hashed beside the word.
 PREFIXES = (3, 5)
-#: Documents that the fit takes at most; words that a worker keeps; words scored at once.
-SAMPLE, KEPT_WORDS, KEPT_CHARS, CHUNK = 6000, 150_000, 48, 200_000
+#: Documents, and bytes of their texts, that the fit takes at most; words that a worker keeps; words scored at once.
+SAMPLE, SAMPLE_BYTES, KEPT_WORDS, CHUNK = 6000, 32 << 20, 150_000, 200_000
 
 # Function words by which a language is guessed.
 FUNCTION_WORDS = {
@@ -232,14 +232,14 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents that are not held out, the first by a hash of the key.
+    """Fit on at most ``sample`` labelled documents that are not held out, the first by a hash of the key, of ``SAMPLE_BYTES`` in all.
 
-    Null keys and labels are dropped; of several labels of a key the greatest counts.
+    Null keys and labels are dropped; of several labels of a key the greatest
+    counts, of several texts the least.
     """
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").dropna().where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    texts = labelled_texts(docs, known, "toxic", rows=sample, size=SAMPLE_BYTES).select("toxic", "text")
     rows = texts.mapInArrow(_emit_words, "toxic int, tongue int, ids binary").collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(bytes(r.ids)))
     return fit([(np.frombuffer(r.ids, np.int32).reshape(-1, 1 + len(PREFIXES)), r.tongue, r.toxic) for r in rows])
