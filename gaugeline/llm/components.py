@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import cut
+from gaugeline.llm.common import cut, spread_join
 
 
 def _state(links: DataFrame) -> tuple:
@@ -17,9 +17,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points every node's larger neighbours, then its smaller ones, to
     the least node among them; both are a minimum per node, combined before the
-    shuffle, and a join back, so a node with very many links is no bottleneck
-    beyond what skewed joins split. Rounds grow with the logarithm of the
-    longest chain. Each round's links are written to the shared folder, not
+    shuffle, and a join back that deals the links of a hot node to all tasks.
+    Rounds grow with the logarithm of the longest chain. Each round's links are written to the shared folder, not
     collected. Null ends and loops are dropped.
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -27,10 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(links)
     while state[0]:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both, least, "a", 2 * state[0]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, least, "a", 2 * state[0]).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, _state(links)
         if before == state:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeline.llm.common import cut, small_batches
+from gaugeline.llm.common import checked_broadcast, cut, small_batches, spread_join
 from gaugeline.llm.components import components
 
 SEED = 42
@@ -172,15 +172,16 @@ def links(nodes: DataFrame, *, distance: int = 4, blocks: int = 7, chunk: int =
         if held:
             yield from out(held)
 
-    signed = np.array(masks, np.uint64).view(np.int64).tolist()
-    dealt = nodes.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask")) for i, m in enumerate(signed)))).alias("c"))
-    dealt = dealt.select(F.col("c.choice").alias("choice"), "fp", "node", F.col("fp").bitwiseAND(F.col("c.mask")).alias("bucket"))
-    # at most one row for each ``chunk`` rows dealt, so it is broadcast; mostly it is empty
-    large = dealt.groupBy("choice", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
-    dealt = dealt.join(F.broadcast(large), ["choice", "bucket"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
-    dealt = dealt.select("choice", "bucket", "fp", "node", F.explode(meetings(F.col("node"), F.col("parts"))).alias("block"))
-    dealt = dealt.repartition("choice", "bucket", "block").sortWithinPartitions("choice", "bucket", "block", "node")
-    return dealt.select("choice", "fp", "node", "block").mapInArrow(run, "a long, b long")
+    signed = F.array(*map(F.lit, np.array(masks, np.uint64).view(np.int64).tolist()))
+    bucket = F.col("fp").bitwiseAND(F.element_at(signed, F.col("choice") + 1))
+    dealt = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("choice"))
+    large = dealt.groupBy("choice", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    dealt = dealt.withColumn("bucket", bucket).join(checked_broadcast(large), ["choice", "bucket"], "left")
+    dealt = dealt.withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
+    dealt = dealt.select("choice", "fp", "node", F.explode(meetings(F.col("node"), F.col("parts"))).alias("block"))
+    # the bucket is made again behind the shuffle rather than sent
+    dealt = dealt.repartition("choice", bucket, "block").withColumn("bucket", bucket).sortWithinPartitions("choice", "bucket", "block", "node")
+    return dealt.select(F.col("choice").cast("long"), "fp", "node", F.col("block").cast("long")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
@@ -191,13 +192,14 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     all keys of a component are null. An empty table gives no rows.
     """
     found = cut(fingerprints(df, key=key, text=text, shingle=shingle))
-    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    total, texts = found.count(), distinct.count()
     joined = components(links(distinct.select(F.col("fp").alias("node"), "fp"), distance=distance, blocks=blocks))
     members = joined.join(distinct, joined["node"] == distinct["fp"]).select("fp", "root", "least")
-    names = members.groupBy("root").agg(F.min("least").alias("component"))
-    named = members.join(names, "root").select("fp", "component")
-    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return found.join(whole, "fp").select("doc_id", "fp", "component_id")
+    names = members.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(members, names, "root", texts).select("fp", "component")
+    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n")
+    return spread_join(found, whole, "fp", total).select("doc_id", "fp", "component_id")
 
 
 def band_keys(hashes: list[int], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -219,7 +221,7 @@ def band_keys(hashes: list[int], bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def word_fingerprints(df: DataFrame, seeds: tuple[int, ...], shingle: int) -> DataFrame:
-    """Rows of (doc_id, node, text) with fingerprints ``fp0``, ``fp1``... of the set of the text's words, one a seed, the number of words and the band keys of the runs of words."""
+    """Rows of (doc_id, digest, text) with fingerprints ``fp0``, ``fp1``... of the set of the text's words, one a seed, the number of words and the band keys of the runs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,21 +233,21 @@ def word_fingerprints(df: DataFrame, seeds: tuple[int, ...], shingle: int) -> Da
                 found.append([majority([xxhash.xxh64_intdigest(w, seed) for w in distinct]) for seed in seeds])
                 sizes.append(len(words))
             each = np.array(found, np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(each[:, k].copy()) for k in range(len(seeds)))], names=["doc_id", "node", "words", "bands", *(f"fp{k}" for k in range(len(seeds)))])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(each[:, k].copy()) for k in range(len(seeds)))], names=["doc_id", "digest", "words", "bands", *(f"fp{k}" for k in range(len(seeds)))])
 
     fields = ", ".join(f"fp{k} long" for k in range(len(seeds)))
-    return df.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node long, words long, bands array<long>, {fields}")
+    return df.select("doc_id", "digest", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest binary, words long, bands array<long>, {fields}")
 
 
 def shingle_sets(df: DataFrame, *, shingle: int) -> DataFrame:
-    """For each row of (root, blocks, node, text) the distinct 32-bit hashes of its runs of words."""
+    """For each row of (root, blocks, node, row) the distinct 64-bit hashes of the runs of words of the row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), np.uint64).astype(np.uint32)).view(np.int32) for t in batch.column(3)]
-            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(sets, pa.list_(pa.int32()))], names=["root", "blocks", "node", "shingles"])
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), np.uint64)).view(np.int64) for t in batch.column(3).field("text")]
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(sets, pa.list_(pa.int64()))], names=["root", "blocks", "node", "shingles"])
 
-    return df.select("root", "blocks", "node", "text").mapInArrow(run, "root long, blocks array<int>, node long, shingles array<int>")
+    return df.select("root", "blocks", "node", "row").mapInArrow(run, "root long, blocks array<int>, node long, shingles array<long>")
 
 
 def similar_tree(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
@@ -311,41 +313,55 @@ def similar_links(sets: DataFrame, *, similarity: float) -> DataFrame:
     return dealt.select("root", "block", "node", "shingles").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 8, seeds: tuple[int, ...] = (SEED, SEED + 1), chunk: int = WORDS) -> DataFrame:
+def named(key: Column, digest: Column) -> Column:
+    """128 bits that stand for a key, null or not, and a text's digest."""
+    held = F.coalesce(F.concat(F.lit(b"k"), key.cast("string").cast("binary")), F.lit(b"n"))
+    return F.unhex(F.md5(F.concat(digest, held)))
+
+
+def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 8, seeds: tuple[int, ...] = (SEED,), chunk: int = WORDS) -> DataFrame:
     """The rows, whole, less near-duplicates: of each group of linked documents the one with the least key stays.
 
-    Equal texts are linked. Texts whose sets of words have fingerprints, of
-    either seed, that differ in at most ``distance`` bits are joined to groups,
-    as are texts whose sets of runs agree in a band of least hashes,
+    Equal texts, by 128 bits, are linked. Texts whose sets of words have
+    fingerprints, of any seed, that differ in at most ``distance`` bits are joined
+    to groups, as are texts whose sets of runs agree in a band of least hashes,
     and in a group all texts are linked whose sets of ``shingle``-word runs have,
-    verified, a Jaccard similarity of ``similarity`` or more; a group of more
-    than ``chunk`` words is cut into chunks that meet in pairs.
+    verified on 64-bit hashes, a Jaccard similarity of ``similarity`` or more; a
+    group of more than ``chunk`` words is cut into chunks that meet in pairs.
     Words rather than runs make the fingerprint, since one changed word changes
     ``shingle`` runs and so about five times the share of what the fingerprint
     sums up. A passage more or less moves a fingerprint further, at the same
     similarity; such pairs are found by the bands, of which two texts of
-    similarity 0.8 share one with a probability of 0.999. Texts without words are one group. A null key counts as the
-    greatest; of rows that agree in key and text any one stays. Other columns go
-    along; an empty table gives no rows.
+    similarity 0.8 share one with a probability of 0.999. Texts without words are
+    one group. A null key counts as the greatest; of rows that agree in key and
+    text any one stays. Other columns go along, whatever they are called; an empty
+    table gives no rows.
+
+    Rows are shuffled once; the sets of runs and the rows that stay are both made
+    from that shuffle.
     """
     small_batches(df.sparkSession)
-    rows = df.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__node")).withColumn("__home", F.xxhash64("doc_id", "__node"))
-    plain = rows.select("doc_id", "text", F.col("__node").alias("node"), F.col("__home").alias("home"))
-    found = cut(word_fingerprints(plain, seeds, shingle).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("words").alias("words"), F.min("bands").alias("bands"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds)))))
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    found = word_fingerprints(df.select("doc_id", digest.alias("digest"), "text"), seeds, shingle)
+    found = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("words").alias("words"), F.min("bands").alias("bands"), *(F.min(f"fp{k}").alias(f"fp{k}") for k in range(len(seeds))))
+    found = cut(found.withColumn("node", F.monotonically_increasing_id()))  # written, so a node keeps its number
+    total = found.count()
+    rows = df.select(F.struct("*").alias("row"), named(F.col("doc_id"), digest).alias("home"))
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("home").orderBy("home"))).where(F.col("first") == 1)
+
     near = reduce(DataFrame.union, (links(found.select("node", F.col(f"fp{k}").alias("fp")), distance=distance, blocks=blocks) for k in range(len(seeds))))
     near = near.union(links(found.select("node", F.explode("bands").alias("fp")), distance=0, blocks=1))
-    groups = components(near).join(found, "node").select("root", "node", "words", F.xxhash64("least", "node").alias("home"))
-    # groups are few beside their members, and mostly none is so large
+    groups = components(near).join(found, "node").select("root", "node", "words", named(F.col("least"), F.col("digest")).alias("home"))
     large = groups.groupBy("root").agg(F.sum("words").alias("n")).where(F.col("n") > chunk)
-    parted = groups.join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
-    dealt = parted.select("root", "home", meetings(F.col("node"), F.col("parts")).alias("blocks"))
-    sets = shingle_sets(plain.join(dealt, "home"), shingle=shingle).select("root", F.explode("blocks").alias("block"), "node", "shingles")
+    parted = groups.join(checked_broadcast(large), "root", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
+    dealt = parted.select("root", "home", "node", meetings(F.col("node"), F.col("parts")).alias("blocks"))
+    sets = shingle_sets(rows.join(dealt, "home"), shingle=shingle).select("root", F.explode("blocks").alias("block"), "node", "shingles")
     close = similar_links(sets, similarity=similarity)
     members = components(close).join(found, "node").select("node", "root", F.struct(F.col("least").isNull().alias("null"), "least", "node").alias("place"))
-    losers = members.join(members.groupBy("root").agg(F.min("place").alias("first")), "root").where(F.col("node") != F.col("first.node")).select("node")
-    kept = found.join(losers, "node", "left_anti").select(F.xxhash64("least", "node").alias("__home"))
-    first = F.row_number().over(Window.partitionBy("__home").orderBy("__node"))
-    return rows.withColumn("__first", first).where(F.col("__first") == 1).join(kept, "__home", "left_semi").select(*df.columns)
+    firsts = members.groupBy("root").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    losers = spread_join(members, firsts, "root", total).where(F.col("node") != F.col("first.node")).select("node")
+    kept = found.join(losers, "node", "left_anti").select(named(F.col("least"), F.col("digest")).alias("home"))
+    return rows.join(kept, "home", "left_semi").select("row.*")
 
 
 def hexadecimal(fp: Column) -> Column:
