@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by score-aware quantisation.
 
 Vectors are scaled to length one, so that the inner product is the cosine. An
-index has cells (k-means) and a product quantiser of four-bit codes for what is
+index has cells (k-means, as many as the root of the number of vectors) and a product quantiser of four-bit codes for what is
 left of a vector within its cell. Codes are chosen by an anisotropic loss: error
 parallel to the vector, which shifts the large inner products, costs ``eta`` times
 what error across it does. A query scans the codes of its nearest cells with
@@ -14,22 +14,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors the index is fitted on at most, cells, dimensions a code, threshold of the anisotropic loss.
-SAMPLE, CELLS, STEP, THRESHOLD = 16384, 32, 2, 0.2
-#: Rows of a cell that one task scans, queries that it holds.
-PART, QUERIES = 4096, 16384
+from gaugeline.llm.common import cut
+
+#: Vectors the index is fitted on at most, dimensions a code, threshold of the anisotropic loss.
+SAMPLE, STEP, THRESHOLD = 16384, 2, 0.2
+#: Sample vectors a cell at least; within that, cells are the root of the number of vectors.
+OF_CELL = 8
+#: Rows of a cell that one task scans, queries that it scans them for.
+PART, QUERIES = 4096, 1 << 18
 #: What sums of table entries in single precision may be off, at most.
 ROUNDING = 1e-4
 #: Share of true neighbours that the probed cells have to hold, on the sample.
-PROBED = 0.997
+PROBED = 0.99
+#: Lengths of vectors, each searched among its own, that one call takes.
+LENGTHS = 64
 
 
 @dataclass
@@ -88,17 +94,18 @@ def assign(left: np.ndarray, x: np.ndarray, books: np.ndarray, eta: float, passe
     return codes.astype(np.uint8)
 
 
-def fit(x: np.ndarray, *, cells: int = CELLS, near: int = 5, rounds: int = 8, seed: int = 3) -> Index:
+def fit(x: np.ndarray, *, cells: int = 32, near: int = 5, rounds: int = 8, seed: int = 3) -> Index:
     """Cells, codebooks and the number of probes from a sample of unit vectors."""
     n, size = x.shape
     rng = np.random.default_rng(seed)
-    cells = max(1, min(cells, n // 8))
+    cells = max(1, min(cells, n // OF_CELL))
     centres = x[rng.choice(n, cells, replace=False)] if n else np.zeros((1, size))
     for _ in range(rounds if n else 0):
         cell = (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
         counts = np.bincount(cell, minlength=cells)
         sums = np.zeros_like(centres)
-        np.add.at(sums, cell, x)
+        for d in range(size):
+            sums[:, d] = np.bincount(cell, x[:, d], minlength=cells)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
     spaces = -(-size // STEP)
     eta = max(1.0, THRESHOLD**2 / (1 - THRESHOLD**2) * (size - 1))
@@ -143,47 +150,44 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def best(scores: np.ndarray, count: int) -> np.ndarray:
-    """Places of the largest scores, the first ones of equals."""
-    if len(scores) <= count:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - count)[len(scores) - count]
-    above = np.flatnonzero(scores > least)
-    return np.sort(np.r_[above, np.flatnonzero(scores == least)[: count - len(above)]])
-
-
-def scan(index: Index, rows: pd.DataFrame, queries: pd.DataFrame, near: int) -> Iterator[tuple]:
-    """The best of one part of a cell for each of the queries that probe it.
+def scan(index: Index, rows: Rows, ids: np.ndarray, vectors: np.ndarray, near: int) -> tuple[np.ndarray, ...]:
+    """The best of one part of a cell for each of some queries: the query's place, the row's place and the cosine.
 
     A row's cosine is the cell centre's product, its table score, and at most
     the length of its quantisation error (the query has length one) more. The
     best by score set a floor; all rows that can reach it are ranked exactly.
     """
-    if not len(rows) or not len(queries):
-        return
-    rows = rows.sort_values("vec_id", kind="stable")
-    ids = rows["vec_id"].to_numpy()
-    vectors = _matrix(rows["vector"], index.size)
-    unit = _unit(vectors)
-    codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-    centre = index.centres[rows["cell"].to_numpy()[0]]
-    error = np.sqrt(((index.split(unit - centre) - index.decode(codes)) ** 2).sum(axis=(1, 2)))
-    for at in range(0, len(queries), 256):
-        some = queries.iloc[at : at + 256]
-        asked = _unit(_matrix(some["vector"], index.size))
-        tables = index.tables(asked).astype(np.float32)
-        found = np.zeros((len(some), len(rows)), np.float32)
-        for k in range(codes.shape[1]):
-            found += np.take(tables[:, k], codes[:, k], axis=1)
-        for i, q in enumerate(some["vec_id"].to_numpy()):
-            first = best(found[i], near + 1)
-            first = first[ids[first] != q]
-            sure = np.sort((unit[first] * asked[i]).sum(axis=1))[::-1]
-            floor = sure[near - 1] if len(sure) >= near else -np.inf
-            spot = np.flatnonzero((found[i] + error + asked[i] @ centre >= floor - ROUNDING) & (ids != q))
-            exact = (unit[spot] * asked[i]).sum(axis=1)
-            for j in best(exact, near):
-                yield q, ids[spot[j]], exact[j]
+    asked = _unit(vectors)
+    tables = index.tables(asked).astype(np.float32)
+    found = np.zeros((len(ids), len(rows.ids)), np.float32)
+    for k in range(rows.codes.shape[1]):
+        found += np.take(tables[:, k], rows.codes[:, k], axis=1)
+    own = ids[:, None] == rows.ids[None, :]
+    found[own] = -np.inf
+    if found.shape[1] > near:
+        first = np.argpartition(-found, near - 1, axis=1)[:, :near]
+        sure = np.einsum("qnd,qd->qn", rows.unit[first], asked)
+        sure[np.take_along_axis(own, first, 1)] = -np.inf
+        floor = sure.min(axis=1)
+    else:
+        floor = np.full(len(ids), -np.inf)
+    reach = found + (rows.error[None, :] + (asked @ rows.centre)[:, None])
+    query, row = np.nonzero((reach >= (floor - ROUNDING)[:, None]) & ~own)
+    exact = np.concatenate([np.einsum("nd,nd->n", rows.unit[row[k : k + 65536]], asked[query[k : k + 65536]]) for k in range(0, len(row), 65536)] or [np.zeros(0)])
+    order = np.lexsort((rows.keys[row], -exact, query))
+    query, row, exact = query[order], row[order], exact[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = rank < near
+    return query[keep], row[keep], exact[keep]
+
+
+class Rows:
+    """The rows of one part of a cell, ready to be scanned."""
+
+    def __init__(self, index: Index, cell: int, ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
+        self.ids, self.keys, self.codes, self.unit = ids, keys, codes, _unit(vectors)
+        self.centre = index.centres[cell]
+        self.error = np.sqrt(((index.split(self.unit - self.centre) - index.decode(codes)) ** 2).sum(axis=(1, 2)))
 
 
 def search(df: DataFrame, *, every: int = 50, near: int = 5, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
@@ -191,46 +195,85 @@ def search(df: DataFrame, *, every: int = 50, near: int = 5, key: str = "vec_id"
 
     Returns query_id, rank (from 1), vec_id and score (cosine in double
     precision); fewer rows where there are fewer candidates. Rows with a null
-    key take no part, nor do unusable vectors or vectors of another length than
-    the sample's commonest. Of rows with one key the least vector counts. The
-    index is fitted on at most ``sample`` rows, the first by a hash of the key,
-    but holds every row.
+    key take no part, nor do unusable vectors. Rows that repeat a key are rows
+    like any other: each is a candidate of the others, and each whose key is
+    divisible is a query with ranks of its own. Vectors of different lengths have
+    no cosine: each length is searched among its own, and more than ``LENGTHS``
+    lengths are an error. The index is fitted on at most ``sample`` rows, the
+    first by a hash of the key, but holds every row.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    fitted = [np.array(r.vector) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
-    sizes = sorted(len(v) for v in fitted)
-    size = max(set(sizes), key=sizes.count) if sizes else 1
-    fitted = [v for v in fitted if len(v) == size]
-    index = spark.sparkContext.broadcast(fit(_unit(np.stack(fitted)) if fitted else np.zeros((0, size)), near=near))  # cells and codebooks: a fixed size
+    sizes = {r.size: r["count"] for r in rows.groupBy(F.size("vector").alias("size")).count().limit(LENGTHS + 1).collect()}
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    found = [_search(rows.where(F.size("vector") == size), size, count, every=every, near=near, sample=sample) for size, count in sorted(sizes.items())]
+    if not found:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)
+
+
+def _search(rows: DataFrame, size: int, count: int, *, every: int, near: int, sample: int) -> DataFrame:
+    spark = rows.sparkSession
+    fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample).select("vector").toArrow().column(0)
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in fitted.chunks] or [np.zeros(0)]).reshape(-1, size)
+    index = spark.sparkContext.broadcast(fit(_unit(x), cells=int(count**0.5), near=near))  # cells and codebooks: bounded by the sample
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, index.value.size)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
             for start in range(0, len(x), 2000):
                 part = x[start : start + 2000]
                 unit = _unit(part)
                 cell, codes = index.value.encode(unit)
-                probed = np.sort(index.value.order(unit)[:, : index.value.probes], axis=1).astype(np.int32)
-                yield pa.record_batch([batch.column(0).slice(start, len(part)), pa.array([v.tobytes() for v in part], pa.binary()), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(probed.tolist(), pa.list_(pa.int32()))], names=["vec_id", "vector", "cell", "codes", "probed"])
-
-    placed = rows.where(F.size("vector") == size).mapInArrow(place, "vec_id long, vector binary, cell int, codes binary, probed array<int>")
-    asked = F.pmod(F.col("vec_id"), F.lit(every)) == 0
-    counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("asked")).collect()  # a row a cell
-    parts = [1] * len(index.value.centres)
-    for r in counted:
-        parts[r.cell] = -(-r.n // PART)
-    blocks = max(1, -(-sum(r.asked for r in counted) // QUERIES))
-    split = F.array(*map(F.lit, parts))
-    of_cell = F.element_at(split, F.col("cell") + 1)
-    held = placed.select("cell", F.pmod(F.xxhash64("vec_id"), of_cell).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vector", "codes")
-    queries = placed.where(asked).select("vec_id", "vector", F.explode("probed").alias("cell")).select("cell", F.explode(F.sequence(F.lit(0), of_cell - 1)).alias("part"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "vector")
-
-    def scanned(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(scan(index.value, rows, queries, near), columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    keys = ["cell", "part", "block"]
-    found = held.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(scanned, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                ids = batch.column(0).slice(start, len(part))
+                asked = np.flatnonzero(ids.to_numpy() % every == 0)
+                probed: list = [None] * len(part)
+                for at, cells in zip(asked, np.sort(index.value.order(unit[asked])[:, : index.value.probes], axis=1).astype(np.int32), strict=True):
+                    probed[at] = cells
+                yield pa.record_batch([ids, pa.array([v.tobytes() for v in part], pa.binary()), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(probed, pa.list_(pa.int32()))], names=["vec_id", "vector", "cell", "codes", "probed"])
+
+    # written once: every row is encoded once and keeps its number
+    placed = rows.mapInArrow(place, "vec_id long, vector binary, cell int, codes binary, probed array<int>")
+    placed = cut(placed.withColumn("row", F.monotonically_increasing_id()))
+    held = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row a cell
+    asking = {r.cell: r["count"] for r in placed.select(F.explode("probed").alias("cell")).groupBy("cell").count().collect()}
+    cells = range(len(index.value.centres))
+    parts = F.array(*(F.lit(max(1, -(-held.get(c, 0) // PART))) for c in cells))
+    blocks = F.array(*(F.lit(max(1, -(-asking.get(c, 0) // QUERIES))) for c in cells))
+    of = lambda counts: F.element_at(counts, F.col("cell") + 1)
+    each = lambda counts: F.explode(F.sequence(F.lit(0), of(counts) - 1))
+    own = lambda counts, salt: F.pmod(F.xxhash64("row", F.lit(salt)), of(counts)).cast("int")
+    columns = ["cell", "part", "block", "asks", "row", "vec_id", "vector", "codes"]
+    rows_ = placed.select("cell", own(parts, 0).alias("part"), each(blocks).alias("block"), F.lit(False).alias("asks"), "row", "vec_id", "vector", "codes")
+    queries = placed.where(F.col("probed").isNotNull()).select("row", "vec_id", "vector", F.explode("probed").alias("cell"))
+    queries = queries.select("cell", each(parts).alias("part"), own(blocks, 1).alias("block"), F.lit(True).alias("asks"), "row", "vec_id", "vector", F.lit(None).cast("binary").alias("codes"))
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, ready = None, [], None  # the place in hand, its rows as they come, and made ready for its queries
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start == end:
+                    continue
+                some, place = batch.slice(start, end - start), tuple(keys[:3, start])
+                if place != at:
+                    at, kept, ready = place, [], None
+                if not keys[3, start]:
+                    kept.append(some)
+                    continue
+                if not kept:
+                    continue
+                if ready is None:
+                    table = pa.Table.from_batches(kept)
+                    ready = Rows(index.value, at[0], table["row"].to_numpy(), table["vec_id"].to_numpy(), _matrix(table["vector"].to_pylist(), size), np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(table), -1))
+                for k in range(0, len(some), 256):
+                    few = some.slice(k, 256)
+                    query, row, score = scan(index.value, ready, few.column(4).to_numpy(), _matrix(few.column(6).to_pylist(), size), near)
+                    yield pa.record_batch([few.column(4).take(pa.array(query)), few.column(5).take(pa.array(query)), pa.array(ready.keys[row]), pa.array(score)], names=["query", "query_id", "vec_id", "score"])
+
+    # rows of a place come before its queries, which stream past them
+    met = rows_.unionByName(queries).select(*columns).repartition("cell", "part", "block").sortWithinPartitions("cell", "part", "block", "asks")
+    found = met.mapInArrow(scanned, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= near).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
