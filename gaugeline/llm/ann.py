@@ -33,7 +33,7 @@ PART, QUERIES = 4096, 1 << 18
 #: What sums of table entries in single precision may be off, at most.
 ROUNDING = 1e-4
 #: Share of true neighbours that the probed cells have to hold, on the sample.
-PROBED = 0.99
+PROBED = 0.997
 #: Lengths of vectors, each searched among its own, that one call takes.
 LENGTHS = 64
 

@@ -38,6 +38,8 @@ LENGTH, GRAM = 100, 24
 BLOCK, CORE = 8, LENGTH - 7
 #: Bytes of text that a task holds at once.
 CHUNK = 2 << 20
+#: Rows that repeat a key are dealt by so many bits of a hash of their text; the rest of a place counts bytes.
+DEALT, OFFSET = 14, 39
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -323,8 +325,9 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     Returns doc_id, n_bytes, n_removed, spans (removed runs, array of start and
     end), kept (the other bytes, binary) and ``carried``, a struct of the columns
     named in ``carry``. Earlier means a smaller key, null first; rows with one
-    key are ordered by text and stay separate texts, so of equal rows the first
-    is kept whole. Null text counts as empty. An empty table gives no rows. With
+    key are ordered by ``DEALT`` bits of a hash of their text, then by text, and
+    stay separate texts, so of equal rows the first is kept whole, and no task has
+    to hold all rows of a key. Null text counts as empty. An empty table gives no rows. With
     ``whole_characters`` the bytes of a character that a cut leaves in part go too,
     so that ``kept`` is UTF-8; counts and spans stay those of the rule.
 
@@ -334,15 +337,17 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     carried = F.struct(*([F.col(c) for c in carry] or [F.lit(None).cast("int").alias("none")])).alias("carried")
     rows = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), carried)
     kind = rows.schema["doc"].dataType.simpleString()
-    # rows are brought together by a hash of the key, which is never null; keys that share one only share a numbering
-    rows = rows.withColumn("home", F.xxhash64("doc"))
+    # rows are brought together by a hash of the key and of some bits of the text; keys that share one only share a numbering
+    bits = F.xxhash64("text").bitwiseAND(F.lit((1 << DEALT) - 1))
+    rows = rows.withColumn("home", F.xxhash64("doc", bits))
+    home_of = F.xxhash64("doc", F.shiftright("place", OFFSET + 8))
     earlier = Window.partitionBy("home").orderBy("doc", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("base", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(earlier), F.lit(0).cast("long")))
+    rows = rows.withColumn("base", F.shiftleft(bits, OFFSET) + F.coalesce(F.sum(F.octet_length("text").cast("long")).over(earlier), F.lit(0).cast("long")))
 
     # carried columns go along everywhere, else each step would shuffle texts anew without them
     along = ["carried"] if carry else []
     groups = rows.select("doc", "text", "base", *along).mapInArrow(_emit_groups, f"anchor long, name long, doc {kind}, place long")
-    firsts = _earliest(groups, ["name"]).select(F.xxhash64("doc").alias("home"), "place")
+    firsts = _earliest(groups, ["name"]).select(home_of.alias("home"), "place")
     places = firsts.groupBy("home").agg(F.collect_list("place").alias("places"))
 
     placed = rows.join(places, "home", "left")
@@ -350,7 +355,7 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     blocks = _earliest(refined.mapInArrow(_emit_blocks, f"anchor long, core long, before long, after long, doc {kind}, place long"), ["core", "before", "after"])
     whole = blocks.where(F.col("place").bitwiseAND(F.lit(1)) == 0).select("doc", "place")
     finer = whole.union(_earliest_strings(blocks.where(F.col("place").bitwiseAND(F.lit(1)) == 1)))
-    finer = finer.groupBy(F.xxhash64("doc").alias("home")).agg(F.collect_list("place").alias("finer"))
+    finer = finer.groupBy(home_of.alias("home")).agg(F.collect_list("place").alias("finer"))
 
     joined = placed.join(finer, "home", "left").select("doc", "text", "base", "places", "finer", "carried")
     fields = joined.schema["carried"].dataType.simpleString()

@@ -2,15 +2,17 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gaugeline.llm import suffix_dedup
 
 
 def plain(rows):
-    """Kept bytes and removed runs of (key, text) rows by a set of all strings seen."""
+    """Kept bytes and removed runs of (key, text) rows by a set of all strings seen; rows of one key come by hash bits, then text."""
     seen, out = set(), []
-    for _, raw in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    bits = (1 << suffix_dedup.DEALT) - 1
+    for _, raw in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1], 42) & bits, r[1])):
         gone = np.zeros(len(raw), bool)
         for i in range(len(raw) - 99):
             s = raw[i : i + 100]
