@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,18 @@ def text_ratio(a: str | None, b: str | None) -> float:
     return 1.0 - SequenceMatcher(None, a, b).ratio()
 
 
-text_distance = F.udf(text_ratio, T.DoubleType(), useArrow=True)  # a type object: workers import this module without a session
+def _text_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """A batch at a time, each distinct pair once."""
+    kept: dict[tuple, float] = {}
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair not in kept:
+            kept[pair] = text_ratio(*pair)
+        out.append(kept[pair])
+    return pd.Series(out, dtype="float64")
+
+
+text_distance = F.pandas_udf(_text_ratios, T.DoubleType())  # a type object: workers import this module without a session
 
 
 def _differs(a: Column, b: Column) -> Column:

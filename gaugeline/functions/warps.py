@@ -26,6 +26,10 @@ class Homography:
         w = F.when(F.abs(w) < 1e-12, 1e-12).otherwise(w)
         return (a * x + b * y + c) / w, (d * x + e * y + f) / w
 
+    def depth(self, x: Column, y: Column) -> Column:
+        """The divisor at a point; where its sign stays, lines stay lines and a box's corners bound its outline."""
+        return self.m[6] * x + self.m[7] * y + self.m[8]
+
     def inverse(self) -> Homography:
         return Homography(tuple(np.linalg.inv(np.reshape(self.m, (3, 3))).ravel().tolist()))
 
@@ -35,6 +39,10 @@ class Homography:
         return Homography(tuple((move @ np.reshape(self.m, (3, 3)) @ np.linalg.inv(move)).ravel().tolist()))
 
 
+#: The map that moves nothing.
+IDENTITY = Homography((1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0))
+
+
 def corners(source: list[tuple[float, float]], target: list[tuple[float, float]]) -> Homography:
     """The homography that takes four points to four others."""
     rows, right = [], []
@@ -98,7 +106,7 @@ class Fold:
         return self._moved(x, y, -1.0)
 
 
-def map_box(box: Column, move: PointMap) -> Column:
+def _outline_box(box: Column, move: PointMap) -> Column:
     """Upright bounds of a box's mapped outline, nine points on each edge."""
     steps = F.sequence(F.lit(0), F.lit(EDGE_STEPS))
     wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
@@ -117,6 +125,26 @@ def map_box(box: Column, move: PointMap) -> Column:
     return F.struct(F.array_min(us).alias("x0"), F.array_min(vs).alias("y0"), F.array_max(us).alias("x1"), F.array_max(vs).alias("y1"))
 
 
+def map_box(box: Column, move: PointMap) -> Column:
+    """Upright bounds of a box after a point map.
+
+    The identity is the box itself; of a homography the four corners are enough,
+    but where the box crosses the line that goes to infinity. Other maps bend
+    edges, so points along the whole outline are mapped.
+    """
+    if move == IDENTITY:
+        return box
+    if not isinstance(move, Homography):
+        return _outline_box(box, move)
+    spots = [(box[x], box[y]) for x in ("x0", "x1") for y in ("y0", "y1")]
+    us, vs = zip(*(move(x, y) for x, y in spots), strict=True)
+    plain = F.struct(F.least(*us).alias("x0"), F.least(*vs).alias("y0"), F.greatest(*us).alias("x1"), F.greatest(*vs).alias("y1"))
+    if not move.m[6] and not move.m[7]:
+        return plain
+    depths = [move.depth(x, y) for x, y in spots]
+    return F.when((F.least(*depths) > 1e-9) | (F.greatest(*depths) < -1e-9), plain).otherwise(_outline_box(box, move))
+
+
 def area(box: Column) -> Column:
     return F.greatest(F.lit(0.0), box["x1"] - box["x0"]) * F.greatest(F.lit(0.0), box["y1"] - box["y0"])
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from gaugeline.constants import AXIAL_DATUMS, COARSE_PITCH, DOF, LOCATING, MM_PER_INCH, ORIENTING, RUNOUT
 from gaugeline.functions.callouts import iou, to_mm
 from gaugeline.operators.solids import hole_patterns, round_faces, sizes
+from gaugeline.sources.shared import checked_broadcast, cut
 
 KEY = "drawing_id"
 ROUNDING, WIDE, WIDE_FLOOR = 0.02, 8.0, 0.5
@@ -37,48 +38,56 @@ def checkable(chars: DataFrame) -> DataFrame:
     return rows.withColumn("target", to_mm(F.col("nominal"), F.col("units"))).withColumn("tight", band(rows)).withColumn("wide", F.greatest(F.col("tight") * WIDE, F.lit(WIDE_FLOOR)))
 
 
-def candidates(targets: DataFrame, faces: DataFrame, envelope: DataFrame) -> DataFrame:
-    """Distinct sizes of the solid within the wide band of each target: (drawing_id, id, value, error, source).
+def solid_sizes(faces: DataFrame, envelope: DataFrame) -> DataFrame:
+    """One row a solid with all that its sizes can be: ``length`` and ``diameter`` (rank, value, source), and ``drill``, the diameters of round faces."""
+    faces = cut(faces)  # ten relations read it
+    found = sizes(faces, envelope).select("solid_id", "family", F.struct("rank", "value", "source").alias("size"))
+    drills = round_faces(faces).select("solid_id", F.lit("drill").alias("family"), F.struct(F.lit(0).alias("rank"), (2 * F.col("radius")).alias("value"), F.lit("").alias("source")).alias("size"))
+    lists = [F.collect_list(F.when(F.col("family") == f, F.col("size"))).alias(f) for f in ("length", "diameter", "drill")]
+    return found.unionByName(drills).groupBy("solid_id").agg(*lists)
+
+
+def with_sizes(targets: DataFrame, faces: DataFrame, envelope: DataFrame) -> DataFrame:
+    """Targets with ``close``, the distinct sizes within the wide band, ``nearby``, all sizes by distance, and ``tap``.
 
-    A range join within the solid: the equi-key deals both sides, the band is a
-    predicate. Equal sizes (to 4 places, radii to 6) are one candidate, named by
-    the first source; a radius is half a diameter, found in twice the band.
+    The sizes of a solid are gathered once and joined as one row, so a solid that
+    very many drawings show is no hot key; all the rest is arrays of one target.
+    Equal sizes (to 4 places, radii to 6) are one candidate, named by the first
+    source; a radius is half a diameter, found in twice the band. Bolt circles
+    are candidates but not offered as nearby. ``tap`` tells diameters that may be
+    threads whose drilled hole the solid has.
     """
-    both = targets.withColumn("family", F.when(F.col("dim_type") == "linear", "length").otherwise("diameter")).join(sizes(faces, envelope), ["solid_id", "family"])
-    value = F.when(F.col("dim_type") == "radius", F.col("value") / 2).otherwise(F.col("value"))
-    both = both.withColumn("value", value).withColumn("error", F.abs(F.col("value") - F.col("target"))).where(F.col("error") <= F.col("wide"))
-    one = F.when(F.col("family") == "length", F.bround("value", 4)).otherwise(F.col("value"))
-    kind = F.when(F.col("family") == "length", F.lit("")).otherwise(F.col("source"))
-    first = F.min_by(F.struct("value", "error", "source"), F.struct("rank", "value"))
-    return both.groupBy(KEY, "id", one.alias("__one"), kind.alias("__kind")).agg(first.alias("c")).select(KEY, "id", "c.*")
+    none = F.array().cast("array<struct<rank:int,value:double,source:string>>")
+    linear, target = F.col("dim_type") == "linear", F.col("target")
+    half = F.when(F.col("dim_type") == "radius", 2.0).otherwise(1.0)
+    pitch = F.create_map(*[F.lit(x) for kv in COARSE_PITCH.items() for x in kv])[F.bround(target, 3)]
+    both = targets.join(checked_broadcast(solid_sizes(faces, envelope)), "solid_id", "left")
+    both = both.withColumn("found", F.coalesce(F.when(linear, F.col("length")).otherwise(F.col("diameter")), none)).withColumn("pitch", F.when(F.col("dim_type") == "diameter", pitch))
+    band = F.filter(F.transform("found", lambda s: F.struct(s["rank"].alias("rank"), (s["value"] / half).alias("value"), s["source"].alias("source"), F.abs(s["value"] / half - target).alias("error"))), lambda s: s["error"] <= F.col("wide"))
+    name = lambda s: F.struct(F.when(linear, F.bround(s["value"], 4)).otherwise(s["value"]).alias("one"), F.when(linear, F.lit("")).otherwise(s["source"]).alias("kind"))
+    both = both.withColumn("band", F.array_sort(band)).withColumn("names", F.transform("band", name))
+    close = F.filter("band", lambda s, i: F.array_position(F.col("names"), F.element_at("names", i + 1)) == i + 1)
+    offered = F.array_distinct(F.transform(F.filter("found", lambda s: s["source"] != "bolt_circle"), lambda s: F.when(linear, F.bround(s["value"], 4)).otherwise(s["value"])))
+    near = F.array_sort(F.transform(offered, lambda v: F.struct(F.abs(v / half - target).alias("error"), (v / half).alias("value"))))
+    low, high = target - F.col("pitch") - TAP_SLOP, target - 0.5 * F.col("pitch") + TAP_SLOP
+    tap = F.coalesce(F.exists("drill", lambda d: d["value"].between(low, high)), F.lit(False))
+    return both.select(*targets.columns, close.alias("close"), F.transform(near, lambda s: s["value"]).alias("nearby"), tap.alias("tap"))
+
+
+def candidates(targets: DataFrame, faces: DataFrame, envelope: DataFrame) -> DataFrame:
+    """Distinct sizes of the solid within the wide band of each target: (drawing_id, id, value, error, source)."""
+    return with_sizes(targets, faces, envelope).select(KEY, "id", F.explode("close").alias("c")).select(KEY, "id", "c.value", "c.error", "c.source")
 
 
 def tap_drills(targets: DataFrame, faces: DataFrame) -> DataFrame:
     """Diameters that may be threads whose drilled hole the solid has: (drawing_id, id)."""
-    pitch = F.create_map(*[F.lit(x) for kv in COARSE_PITCH.items() for x in kv])
-    rows = targets.where("dim_type = 'diameter'").withColumn("pitch", pitch[F.bround("target", 3)]).where(F.col("pitch").isNotNull())
-    both = rows.join(round_faces(faces).select("solid_id", (2 * F.col("radius")).alias("drill")), "solid_id")
-    low, high = F.col("target") - F.col("pitch") - TAP_SLOP, F.col("target") - 0.5 * F.col("pitch") + TAP_SLOP
-    return both.where(F.col("drill").between(low, high)).select(KEY, "id").distinct()
+    none = faces.select("solid_id").limit(0).select("solid_id", *(F.lit(None).cast("double").alias(c) for c in ("ex", "ey", "ez")))
+    return with_sizes(targets, faces, none).where("tap").select(KEY, "id").distinct()
 
 
 def nearest(targets: DataFrame, faces: DataFrame, envelope: DataFrame, *, count: int = 3) -> DataFrame:
-    """The closest distinct sizes of the solid for each target, nearest first, the smaller on ties: (drawing_id, id, nearby).
-
-    Bolt circles are not offered. A solid has few sizes, so each target gathers
-    a small array rather than ranking rows through a window.
-    """
-    offered = sizes(faces, envelope).where("source <> 'bolt_circle'").select("solid_id", "family", F.when(F.col("family") == "length", F.bround("value", 4)).otherwise(F.col("value")).alias("value"))
-    lists = offered.groupBy("solid_id", "family").agg(F.collect_set("value").alias("values"))
-    family = F.when(F.col("dim_type") == "linear", "length").otherwise("diameter")
-    both = targets.withColumn("family", family).join(lists, ["solid_id", "family"], "left")
-    near = F.array_sort(F.transform(F.coalesce("values", F.array().cast("array<double>")), lambda v: _by_distance(v)))
-    return both.select(KEY, "id", F.transform(F.slice(near, 1, count), lambda s: s["value"]).alias("nearby"))
-
-
-def _by_distance(v: Column) -> Column:
-    value = F.when(F.col("dim_type") == "radius", v / 2).otherwise(v)
-    return F.struct(F.abs(value - F.col("target")).alias("error"), value.alias("value"))
+    """The closest distinct sizes of the solid for each target, nearest first, the smaller on ties: (drawing_id, id, nearby)."""
+    return with_sizes(targets, faces, envelope).select(KEY, "id", F.slice("nearby", 1, count).alias("nearby"))
 
 
 def size_check(chars: DataFrame, faces: DataFrame, envelope: DataFrame) -> DataFrame:
@@ -87,12 +96,11 @@ def size_check(chars: DataFrame, faces: DataFrame, envelope: DataFrame) -> DataF
     ``chars`` has solid_id. Returns verdict rows with ``correction``, the nearest
     size where it clearly stands out, in the drawing's units.
     """
-    targets = checkable(chars)
-    found = candidates(targets.select("solid_id", KEY, "id", "dim_type", "target", "wide"), faces, envelope)
-    counts = targets.select(KEY, "id", "tight").join(found, [KEY, "id"]).groupBy(KEY, "id").agg(F.count(F.lit(1)).alias("any"), F.count_if(F.col("error") <= F.col("tight")).alias("near"), F.min("error").alias("least"))
-    rows = targets.join(counts, [KEY, "id"], "left").join(tap_drills(targets, faces).withColumn("tap", F.lit(True)), [KEY, "id"], "left").join(nearest(targets, faces, envelope), [KEY, "id"], "left")
-    verdict = F.when(F.col("near") == 1, "verified").when(F.col("any") > 0, "unverifiable").when(F.col("tap"), "unverifiable").otherwise("contradicted")
-    sure = F.bround(F.least(F.lit(1.0), 0.75 + 0.25 * (1.0 - F.col("least") / F.greatest("tight", F.lit(1e-9)))), 3)
+    rows = with_sizes(checkable(chars), faces, envelope)
+    near = F.size(F.filter("close", lambda c: c["error"] <= F.col("tight")))
+    verdict = F.when(near == 1, "verified").when((F.size("close") > 0) | F.col("tap"), "unverifiable").otherwise("contradicted")
+    least = F.array_min(F.transform("close", lambda c: c["error"]))
+    sure = F.bround(F.least(F.lit(1.0), 0.75 + 0.25 * (1.0 - least / F.greatest("tight", F.lit(1e-9)))), 3)
     best, second = F.try_element_at("nearby", F.lit(1)), F.try_element_at("nearby", F.lit(2))
     far = F.when(best.isNull(), 0.6).when(F.abs(best - F.col("target")) < 0.25 * F.greatest("target", F.lit(1e-9)), 0.95).otherwise(0.75)
     scale = F.when(F.col("units") == "inch", MM_PER_INCH).otherwise(1.0)

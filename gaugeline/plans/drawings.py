@@ -246,7 +246,7 @@ KEPT_SQL = "SELECT c.drawing_id, c.id AS old_id, row_number() OVER (PARTITION BY
 
 @register("degrade_survivors", duck("WITH " + SURVIVE.format(t="gt_char", o="ck") + ", " + SURVIVE.replace("cl AS", "cd AS").replace("FROM cl", "FROM cd").format(t="datum", o="dk") + " " + KEPT_SQL.format(c="ck", d="dk")))
 def degrade_survivors(spark, sf_dir):
-    left, _ = degrade.map_boxes(chars(spark, sf_dir), boxed_datums(spark, sf_dir), lambda x, y: (x, y), F.lit(1400), F.lit(1000))
+    left, _ = degrade.map_boxes(chars(spark, sf_dir), boxed_datums(spark, sf_dir), warps.IDENTITY, F.lit(1400), F.lit(1000))
     return left.select(KEY, "old_id", "id")
 
 

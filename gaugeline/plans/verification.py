@@ -9,12 +9,13 @@ from gaugeline.operators import solids as S
 from gaugeline.operators import verification as V
 from gaugeline.plans.registry import register
 from gaugeline.sources.fixtures import callouts, duck, view
+from gaugeline.sources.shared import cut
 
 KEY = "drawing_id"
 
 
 def chars(spark, sf_dir):
-    return callouts(spark, sf_dir, "gt_char").join(view(spark, sf_dir, "drawing").select(KEY, "solid_id"), KEY)
+    return callouts(spark, sf_dir, "gt_char", ("solid_id",))
 
 
 def faces(spark, sf_dir):
@@ -199,8 +200,8 @@ rd AS (SELECT g.drawing_id, g.id, coalesce(v.verdict, 'unverifiable') AS verdict
 
 
 def verdicts(spark, sf_dir):
-    c = chars(spark, sf_dir)
-    every = V.size_check(c, faces(spark, sf_dir), envelope(spark, sf_dir)).drop("correction").unionByName(V.modifier_check(c, view(spark, sf_dir, "drawing"), faces(spark, sf_dir))[0])
+    c, solid = cut(chars(spark, sf_dir)), cut(faces(spark, sf_dir))  # each check reads both
+    every = V.size_check(c, solid, envelope(spark, sf_dir)).drop("correction").unionByName(V.modifier_check(c, view(spark, sf_dir, "drawing"), solid)[0])
     return V.reduced(c, every)
 
 

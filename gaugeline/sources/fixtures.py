@@ -138,8 +138,8 @@ def refs(n: str = "n_refs", modifier: str = "ref_modifier"):
     return F.slice(every, 1, F.col(n).cast("int"))
 
 
-def callouts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``gt_char`` or ``pred_char`` with boxes as structs, datum references, and the drawing's units."""
+def callouts(spark: SparkSession, sf_dir: str, name: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """``gt_char`` or ``pred_char`` with boxes as structs, datum references, and the drawing's units and columns named in ``also``."""
     rows = view(spark, sf_dir, name).withColumn("bbox", F.struct("x0", "y0", "x1", "y1")).withColumn("datum_refs", refs()).drop("x0", "y0", "x1", "y1")
-    drawings = view(spark, sf_dir, "drawing").select("drawing_id", "units", "profile", "family")
+    drawings = view(spark, sf_dir, "drawing").select("drawing_id", "units", "profile", "family", *also)
     return rows.join(drawings, "drawing_id")
