@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeline.llm.common import small_batches
+from gaugeline.llm.common import checked_broadcast, small_batches
 
 #: Bytes of a string whose repetition counts, and of the anchors within it.
 LENGTH, GRAM = 100, 24
@@ -338,7 +338,11 @@ def dedup_substrings(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), carried)
     kind = rows.schema["doc"].dataType.simpleString()
     # rows are brought together by a hash of the key and of some bits of the text; keys that share one only share a numbering
-    bits = F.xxhash64("text").bitwiseAND(F.lit((1 << DEALT) - 1))
+    repeated = df.groupBy(F.col(key).alias("again")).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
+    rows = rows.join(checked_broadcast(repeated), F.col("doc").eqNullSafe(F.col("again")), "left")
+    bits = F.when(F.col("times") > 1, F.xxhash64("text").bitwiseAND(F.lit((1 << DEALT) - 1))).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("doc", "text", "carried", bits.alias("bits"))
+    bits = F.col("bits")
     rows = rows.withColumn("home", F.xxhash64("doc", bits))
     home_of = F.xxhash64("doc", F.shiftright("place", OFFSET + 8))
     earlier = Window.partitionBy("home").orderBy("doc", "text").rowsBetween(Window.unboundedPreceding, -1)
