@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.sources.shared import cut
+
 #: How far from parallel or perpendicular two unit directions may be.
 PARALLEL = 1e-3
 LEAST_AREA, LEAST_DISTANCE = 1e-6, 1e-6
@@ -133,7 +135,8 @@ def sizes(faces: DataFrame, envelope: DataFrame) -> DataFrame:
     distances, extents and uniform bolt circles, ranked in this order.
     """
     rounds = round_faces(faces).select("solid_id", F.bround("radius", 6).alias("radius")).distinct()
-    rings = hole_patterns(faces).where("uniform").select("solid_id", F.col("bolt_circle").alias("value"))
+    # written: both families read them, and a filter pushed into their arrays would work each array out again and again
+    rings = cut(hole_patterns(faces)).where("uniform").select("solid_id", F.col("bolt_circle").alias("value"))
     extents = envelope.select("solid_id", F.explode(F.array("ex", "ey", "ez")).alias("value"))
     parts = [("diameter", "diameter", 0, rounds.select("solid_id", (2 * F.col("radius")).alias("value"))), ("diameter", "bolt_circle", 1, rings), ("length", "plane_pair", 0, plane_pairs(faces)), ("length", "axis_distance", 1, axis_distances(faces)), ("length", "axis_to_plane", 2, axis_to_plane(faces)), ("length", "envelope", 3, extents), ("length", "bolt_circle", 4, rings)]
     out = None
