@@ -357,7 +357,7 @@ def one_of_each(df: DataFrame, *, shingle: int = 5, similarity: float = 0.8, dis
     dealt = parted.select("root", "home", "node", meetings(F.col("node"), F.col("parts")).alias("blocks"))
     sets = shingle_sets(rows.join(dealt, "home"), shingle=shingle).select("root", F.explode("blocks").alias("block"), "node", "shingles")
     close = similar_links(sets, similarity=similarity)
-    members = components(close).join(found, "node").select("node", "root", F.struct(F.col("least").isNull().alias("null"), "least", "node").alias("place"))
+    members = cut(components(close).join(found, "node").select("node", "root", F.struct(F.col("least").isNull().alias("null"), "least", "node").alias("place")))
     firsts = members.groupBy("root").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     losers = spread_join(members, firsts, "root", total).where(F.col("node") != F.col("first.node")).select("node")
     kept = found.join(losers, "node", "left_anti").select(named(F.col("least"), F.col("digest")).alias("home"))
