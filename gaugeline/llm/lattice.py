@@ -246,7 +246,10 @@ def encode(df: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "
 
     Decoding loses nothing but the difference between a blank and the sign that
     stands for it, so ``round_trip`` compares with that sign read as a blank.
-    Null and empty texts have no ids. Rows are handled one by one.
+    Null and empty texts have no ids. Rows are handled one by one. Paths are those
+    of the greatest summed score. For a table of merge ranks, as of a BPE model,
+    these are not the merges that the model's own library makes: such ids are for
+    the round trip and for counts here, not for a consumer of that model.
     """
     small_batches(df.sparkSession)
     pieces = df.sparkSession.sparkContext.broadcast(read_pieces(model_path))  # a fixed vocabulary
