@@ -10,6 +10,7 @@ taken follow the target closely.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,7 +79,9 @@ def places(rows: DataFrame, *, weights: Sequence[int], most: int, seed: int, chu
     cells = cells.withColumn("base", F.coalesce(F.sum("held").over(order), F.lit(0))).drop("held", "words")
     cells = cells.alias("c").join(goals.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.*", "source_size", "target", "shift")
     within = Window.partitionBy("source", "stratum", "chunk").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("upto", F.coalesce(F.sum("n").over(within), F.lit(0))).alias("r").join(cells.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.stratum") == F.col("c.stratum")) & (F.col("r.chunk") == F.col("c.chunk")))
+    # null-safe throughout: a plain equality would filter one use of ``rows`` only, and texts would be read and counted twice
+    same = reduce(Column.__and__, (F.col(f"r.{name}").eqNullSafe(F.col(f"c.{name}")) for name in ("source", "stratum", "chunk")))
+    placed = rows.withColumn("upto", F.coalesce(F.sum("n").over(within), F.lit(0))).alias("r").join(cells.alias("c"), same)
     return placed.select("r.doc_id", "r.source", "r.size", "r.n", (F.col("c.base") + F.col("r.upto") + 1).alias("first"), "source_size", "target", "shift")
 
 
