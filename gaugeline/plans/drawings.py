@@ -43,15 +43,18 @@ def valid_and_malformed(spark, sf_dir):
     return rules.judged(chars(spark, sf_dir)).groupBy(KEY).agg(F.count_if(F.col("reason").isNull()).alias("valid"), F.count_if(F.col("reason").isNotNull()).alias("malformed"))
 
 
+SHOWN = "CASE WHEN hh % 25 = 3 THEN id + 100 ELSE id END"
+
+
 @register(
     "drawing_faults",
-    duck(f"""WITH k AS (SELECT drawing_id, id FROM gt_char WHERE hh % 25 <> 3), r AS (SELECT f.drawing_id, f.label, f.modifier, d.feature_type FROM datum_ref f JOIN k ON f.drawing_id = k.drawing_id AND f.id = k.id LEFT JOIN datum d ON f.drawing_id = d.drawing_id AND f.label = d.label)
+    duck(f"""WITH k AS (SELECT drawing_id, {SHOWN} AS id FROM gt_char), r AS (SELECT f.drawing_id, f.label, f.modifier, d.feature_type FROM datum_ref f LEFT JOIN datum d ON f.drawing_id = d.drawing_id AND f.label = d.label)
 SELECT drawing_id, 'numbering' AS reason FROM k GROUP BY 1 HAVING count(id) <> count(DISTINCT id) OR min(id) <> 1 OR max(id) <> count(id)
 UNION SELECT drawing_id, 'datum not declared' FROM r WHERE feature_type IS NULL UNION SELECT drawing_id, 'modifier on a datum without size' FROM r WHERE modifier IS NOT NULL AND feature_type NOT IN ({quoted(SIZED_DATUMS)})"""),
 )
 def drawing_faults(spark, sf_dir):
-    """Callouts with hh % 25 = 3 are left out, here and in the SQL, to plant gaps in the numbering; their own faults are not reported."""
-    return rules.drawing_faults(chars(spark, sf_dir).where("hh % 25 <> 3"), view(spark, sf_dir, "datum"))
+    """Gaps in the numbering are planted, here and in the SQL, by raising some ids; every callout is judged."""
+    return rules.drawing_faults(chars(spark, sf_dir).withColumn("id", F.expr(SHOWN)), view(spark, sf_dir, "datum"))
 
 
 @register("boxes_outside", duck("SELECT g.drawing_id, g.id FROM gt_char g JOIN drawing d ON g.drawing_id = d.drawing_id WHERE x1 > image_w - 60 OR y1 > image_h - 60 OR x0 < 0 OR y0 < 0"))
@@ -118,9 +121,9 @@ def frame_texts(spark, sf_dir):
     return rows.select(KEY, "id", writing.frame_text(F.col("gtol_symbol"), F.col("gtol_value"), F.col("material_modifier"), F.col("datum_refs"), zone=F.lit("⌀")).alias("text"))
 
 
-@register("frame_round_trip")
+@register("frame_round_trip", duck("SELECT drawing_id, id, true AS agrees FROM gt_char WHERE kind = 'geometric_tolerance'"))
 def frame_round_trip(spark, sf_dir):
-    """Written frames read back by the grammar: all agree (no SQL: it takes the parser)."""
+    """Written frames read back by the grammar: all agree."""
     rows = chars(spark, sf_dir).where("kind = 'geometric_tolerance'")
     text = writing.frame_text(F.col("gtol_symbol"), F.col("gtol_value"), F.col("material_modifier"), F.col("datum_refs"), zone=F.lit("⌀"))
     back = rows.withColumn("c", grammar.parse_callout(text))
@@ -154,18 +157,21 @@ def _devs(table: dict) -> str:
     return "CASE lower(letter) " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(str, v))}]" for k, v in table.items()) + " END"
 
 
-FINER = WIDTH.replace("CASE g ", "CASE g - 1 ").replace("CASE g - 5", "CASE g - 6").replace("g > 11", "g - 1 > 11")
+LOWS = "[1, " + ", ".join(map(str, tables.RANGES[:-1])) + "]"
+FIRST = f"(0.8::DOUBLE + 0.02::DOUBLE * sqrt((({LOWS})[i] * ([{', '.join(map(str, tables.RANGES))}])[i])::DOUBLE))"
+FOURTH = f"(round_even({FIRST} * pow(pow(([{', '.join(map(str, tables.GRADES[5]))}])[i] / {FIRST}, 0.25::DOUBLE), 3), 0) * 1e-3)"
+FINER = "CASE WHEN g = 5 THEN " + FOURTH + " ELSE " + WIDTH.replace("CASE g ", "CASE g - 1 ").replace("CASE g - 5", "CASE g - 6").replace("g > 11", "g - 1 > 11") + " END"
 
 
 @register(
     "fit_limits",
     duck(f"""WITH {SIZED}, w AS (SELECT *, {WIDTH} AS it, ({_devs(tables.SHAFT_UPPER)})[i] * 1e-3 AS es, CASE WHEN lower(letter) = 'k' AND NOT g BETWEEN 4 AND 7 THEN 0 ELSE ({_devs(tables.SHAFT_LOWER)})[i] * 1e-3 END AS ei, letter = upper(letter) AS hole,
- CASE WHEN i > 1 AND g <= CASE lower(letter) WHEN 'p' THEN 7 WHEN 'k' THEN 8 WHEN 'm' THEN 8 WHEN 'n' THEN 8 END AND g > 5 THEN {WIDTH} - {FINER} WHEN i > 1 AND g = 5 AND lower(letter) IN ('k', 'm', 'n', 'p') THEN NULL ELSE 0 END AS delta FROM r)
+ CASE WHEN i > 1 AND g <= CASE lower(letter) WHEN 'p' THEN 7 WHEN 'k' THEN 8 WHEN 'm' THEN 8 WHEN 'n' THEN 8 END THEN {WIDTH} - ({FINER}) ELSE 0 END AS delta FROM r)
 SELECT p_partkey, concat(letter, g) AS fit, round(CASE WHEN lower(letter) = 'js' THEN it / 2 WHEN es IS NOT NULL THEN CASE WHEN hole THEN it - es ELSE es END ELSE CASE WHEN hole THEN delta - ei ELSE ei + it END END + 0.0, 6) AS upper_dev,
-round(CASE WHEN lower(letter) = 'js' THEN -it / 2 WHEN es IS NOT NULL THEN CASE WHEN hole THEN -es ELSE es - it END ELSE CASE WHEN hole THEN delta - ei - it ELSE ei END END + 0.0, 6) AS lower_dev FROM w WHERE NOT (g = 5 AND hole AND lower(letter) IN ('k', 'm', 'n', 'p'))"""),
+round(CASE WHEN lower(letter) = 'js' THEN -it / 2 WHEN es IS NOT NULL THEN CASE WHEN hole THEN -es ELSE es - it END ELSE CASE WHEN hole THEN delta - ei - it ELSE ei END END + 0.0, 6) AS lower_dev FROM w"""),
 )
 def fit_limits(spark, sf_dir):
-    rows = _sized(spark, sf_dir).where("NOT (g = 5 AND letter = upper(letter) AND lower(letter) IN ('k', 'm', 'n', 'p'))").withColumn("fit", F.concat("letter", F.col("g").cast("string")))
+    rows = _sized(spark, sf_dir).withColumn("fit", F.concat("letter", F.col("g").cast("string")))
     limits = tables.fit_limits(F.col("d"), F.col("fit"))
     return rows.withColumn("l", limits).select("p_partkey", "fit", (F.round("l.upper", 6) + 0.0).alias("upper_dev"), (F.round("l.lower", 6) + 0.0).alias("lower_dev"))
 
@@ -466,12 +472,19 @@ def drop_characteristic(spark, sf_dir):
     return perturb.drop_characteristic(chars(spark, sf_dir), SEED)
 
 
-@register("new_findings", duck("SELECT r.drawing_id, r.label FROM datum_ref r ANTI JOIN datum d USING (drawing_id, label) WHERE r.modifier IS NULL EXCEPT SELECT drawing_id, label FROM datum_ref WHERE pos = 2 AND drawing_id % 2 = 0"))
+@register(
+    "new_findings",
+    duck(f"""WITH {_chosen('undeclared_datum', 'n_refs > 0')}, dm AS (SELECT r.drawing_id, CASE WHEN r.id = ch.id AND r.pos = ch.n_refs - 1 THEN 'X' ELSE r.label END AS label FROM datum_ref r LEFT JOIN ch ON r.drawing_id = ch.drawing_id)
+SELECT dm.drawing_id, dm.label FROM dm ANTI JOIN datum d USING (drawing_id, label) EXCEPT SELECT r.drawing_id, r.label FROM datum_ref r ANTI JOIN datum d USING (drawing_id, label)"""),
+)
 def new_findings(spark, sf_dir):
-    """The baseline, here and in the SQL, is planted: third references of drawings with an even id."""
-    refs = view(spark, sf_dir, "datum_ref")
-    damaged = refs.where("modifier IS NULL").join(view(spark, sf_dir, "datum"), [KEY, "label"], "left_anti").select(KEY, "label")
-    return perturb.new_findings(damaged, refs.where("pos = 2 AND drawing_id % 2 = 0").select(KEY, "label"))
+    """Undeclared labels of drawings with one reference turned into an undeclared one, less those of the drawings as they were."""
+    refs, datums = view(spark, sf_dir, "datum_ref"), view(spark, sf_dir, "datum")
+    hit = perturb.undeclared_datum(chars(spark, sf_dir), datums, SEED).select(KEY, "id", "after")
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy(KEY, "id"))
+    damaged = refs.join(hit, [KEY, "id"], "left").withColumn("label", F.when(last, F.coalesce("after", "label")).otherwise(F.col("label")))
+    found, before = (x.select(KEY, "label").join(datums, [KEY, "label"], "left_anti") for x in (damaged, refs))
+    return perturb.new_findings(found, before)
 
 
 @register("seeded_drawings", duck("SELECT drawing_id, (drawing_id * 1000003 + length(family)) % 4294967296 AS seed FROM drawing"))

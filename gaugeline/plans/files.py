@@ -26,16 +26,10 @@ def listing(spark, sf_dir):
 
 @register(
     "image_for_truth",
-    duck(f"WITH l AS ({LISTING}) SELECT j.path, (SELECT min(p.path) FROM l p WHERE p.path LIKE '%.png' AND p.path NOT LIKE '%_overlay.png' AND starts_with(p.path, replace(j.path, '.json', '_'))) AS image FROM l j WHERE j.path LIKE '%.json' AND j.path LIKE '/run/3/%'"),
+    duck(f"""WITH l AS ({LISTING}), i AS (SELECT concat(regexp_extract(path, '^(/run/\\d/d\\d+)_', 1), '.json') AS truth, min(path) AS image FROM l WHERE path LIKE '%.png' AND path NOT LIKE '%_overlay.png' GROUP BY 1)
+SELECT j.path, i.image FROM l j LEFT JOIN i ON j.path = i.truth WHERE j.path LIKE '%.json'"""),
 )
 def image_for_truth(spark, sf_dir):
-    every = listing(spark, sf_dir)
-    return files.image_of(every.where("path LIKE '%.json' AND path LIKE '/run/3/%'"), every)
-
-
-@register("image_for_every_truth")
-def image_for_every_truth(spark, sf_dir):
-    """``image_for_truth`` looks up the files of '/run/3/' only, one drawing in ten, as its SQL does; this one looks up all (no SQL)."""
     every = listing(spark, sf_dir)
     return files.image_of(every.where("path LIKE '%.json'"), every)
 
