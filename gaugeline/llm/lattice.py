@@ -321,3 +321,62 @@ def encode_words(words: DataFrame, table: DataFrame, *, longest: int, unknown: f
     parts = F.transform(F.sequence(F.lit(2), F.size("cuts")), lambda i: F.substring(F.col("word"), F.element_at("cuts", i - 1), F.element_at("cuts", i) - F.element_at("cuts", i - 1)))
     encoded = cuts.select("word", parts.alias("pieces"))
     return encoded.union(words.where(size == 0).select("word", F.array().cast("array<string>").alias("pieces")))
+
+
+#: Bytes of text in a bucket of ``encode_relational``.
+BUCKET = 16 << 20
+
+
+def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """What ``encode`` returns, with the lattice of all distinct words made by ``encode_words``.
+
+    Texts are dealt once into buckets of about ``bucket`` bytes by a hash of key and
+    text. A bucket asks for its distinct words, the distinct words of all buckets go
+    through the relational lattice, and each bucket's texts meet its answers; words of
+    more than ``LONG`` characters are folded where the texts are. Rows of equal key and
+    text share a bucket. Null and empty texts have no ids.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    held = read_pieces(model_path)
+    pieces = spark.sparkContext.broadcast(held)  # a fixed vocabulary
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // bucket))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "bucket")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, set[str]] = {}
+        for batch in batches:
+            found: dict[int, set[str]] = {}
+            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(b, set()).update(split(t))
+            for b, words in found.items():
+                new = [w for w in words - asked.setdefault(b, set()) if len(w) <= LONG]
+                asked[b].update(new)
+                yield pa.record_batch([pa.array([b] * len(new), pa.int32()), pa.array(new, pa.string())], names=["bucket", "word"])
+
+    asked = dealt.select("bucket", "text").mapInArrow(ask, "bucket int, word string").repartition("word")
+    paths = encode_words(asked.select("word"), held.table(spark), longest=held.longest, unknown=held.least - UNKNOWN)
+    answers = asked.join(paths, "word").select("bucket", "word", F.transform("pieces", F.length).alias("sizes"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        p, ids_of = pieces.value, {}
+        for word, sizes in zip(right["word"].to_pylist(), right["sizes"].to_pylist(), strict=True):
+            at, raw = 0, b""
+            for n in sizes:
+                place = p.rank.get(word[at : at + n])
+                raw += p.ids[place].tobytes() if place is not None else p.bytes_[list(word[at : at + n].encode())].tobytes()
+                at += n
+            ids_of[word] = raw
+        texts = left["text"].to_pylist()
+        cut = [split(t) for t in texts]
+        ids_of |= {w: fold_long(w, p) for words in cut for w in words if len(w) > LONG}
+        ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, words)), np.int32) for words in cut]
+        same = [decode(i.tolist(), p) == (t or "").replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+        ends = np.cumsum([0, *map(len, ids)])
+        flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        return pa.table({"doc_id": left["doc_id"], "ids": flat, "round_trip": pa.array(same, pa.bool_())})
+
+    both = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
+    return both.applyInArrow(meet, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, round_trip boolean")

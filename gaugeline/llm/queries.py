@@ -27,7 +27,7 @@ def op3_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = lattice.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = lattice.encode_relational(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 

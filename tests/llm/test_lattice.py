@@ -69,3 +69,16 @@ def test_documents(spark, docs, odd, pieces):
     back = {r.doc_id: r.decoded for r in lattice.decode_ids(lattice.encode(df, MODEL), MODEL).collect()}
     assert back[7] == odd[7] and back[9] == odd[9] and back[2] == " "
     assert lattice.encode(df.limit(0), MODEL).count() == 0
+
+
+def test_relational_plan_equals_the_batch_form(spark):
+    long = "x" * 70 + "日本" * 40
+    texts = [*some_texts(60, seed=9), None, "", long, f"a {long} b", "a a a", "a a a", "▁ ▁"]
+    rows = [(k % 61, t, "other") for k, t in enumerate(texts)] + [(None, "no key", "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
+
+    def result(encode, **more):
+        return sorted((str(r.doc_id), list(r.ids), r.round_trip) for r in encode(docs, MODEL, **more).collect())
+
+    assert result(lattice.encode_relational) == result(lattice.encode) == result(lattice.encode_relational, bucket=500)
+    assert lattice.encode_relational(docs.limit(0), MODEL).count() == 0
