@@ -15,15 +15,20 @@ so the words of a document need not be shuffled to meet their pieces and back.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gaugeline.llm.common import small_batches
 
@@ -288,13 +293,25 @@ def encode_words(words: DataFrame, table: DataFrame, *, longest: int, unknown: f
     a broadcast. Null words are dropped; the empty word has no pieces.
     """
     words = words.select("word").where(F.col("word").isNotNull()).distinct()
-    size = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("begin")).where(size > 0)
-    spans = spans.select("word", "begin", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("begin") + 1))).alias("chars"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("begin"), F.col("chars")))
+    paths = best_paths(words, table, longest=longest, unknown=unknown)
+    parts = F.transform(F.sequence(F.lit(2), F.size("cuts")), lambda i: F.substring(F.col("word"), F.element_at("cuts", i - 1), F.element_at("cuts", i) - F.element_at("cuts", i - 1)))
+    return paths.select("word", parts.alias("pieces")).union(words.where(F.length("word") == 0).select("word", F.array().cast("array<string>").alias("pieces")))
+
+
+def best_paths(words: DataFrame, table: DataFrame, *, longest: int, unknown: float, by: tuple[str, ...] = (), carry: str | None = None) -> DataFrame:
+    """(by..., word, carry, cuts) of rows that are distinct in (by, word) and not empty: where the edges of a word's best path begin, from 1, and its end.
+
+    Words are grouped by (by, word), which moves no row where they are dealt by ``by``
+    or ``word``. ``carry`` rides on a word's first edge only.
+    """
+    size, also = F.length("word"), [carry] if carry else []
+    spans = words.select(*by, "word", *also, F.explode(F.sequence(F.lit(1), size)).alias("begin")).where(size > 0)
+    spans = spans.select(*by, "word", *also, "begin", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("begin") + 1))).alias("chars"))
+    first = (F.col("begin") == 1) & (F.col("chars") == 1)
+    spans = spans.select(*by, "word", *(F.when(first, F.col(c)).alias(c) for c in also), "begin", "chars", F.substring("word", F.col("begin"), F.col("chars")).alias("piece"))
     edges = spans.join(F.broadcast(table), "piece", "left").withColumn("score", F.coalesce("score", F.when(F.col("chars") == 1, F.lit(unknown))))
-    edges = edges.where(F.col("score").isNotNull()).select("word", F.struct((F.col("begin") + F.col("chars") - 1).alias("end"), "begin", "score").alias("edge"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    edges = edges.where(F.col("score").isNotNull()).select(*by, "word", *also, F.struct((F.col("begin") + F.col("chars") - 1).alias("end"), "begin", "score").alias("edge"))
+    lattice = edges.groupBy(*by, "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in also))
 
     # the fold holds, for each position from 0 on, the best score there and where its last edge begins;
     # edges come by their end, so all that lead to an edge's beginning have been seen
@@ -309,74 +326,124 @@ def encode_words(words: DataFrame, table: DataFrame, *, longest: int, unknown: f
         return F.when(F.size(state) <= edge["end"], grown).when(score > last["score"], again).otherwise(state)
 
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("begin"))).cast(held)
-    folded = lattice.select("word", F.aggregate("edges", start, better).alias("state"))
+    folded = lattice.select(*by, "word", *also, F.aggregate("edges", start, better).alias("state"))
 
     def earlier(ends: Column, _: Column) -> Column:
         first = F.element_at(ends, 1)
         return F.when(first > 1, F.concat(F.array(F.element_at(F.col("state"), first)["begin"]), ends)).otherwise(ends)
 
     # from the last position back to 1, positions of the state where an edge begins
-    path = F.aggregate(F.sequence(F.lit(1), F.length("word")), F.array(F.size("state")), earlier)
-    cuts = folded.select("word", path.alias("cuts"))
-    parts = F.transform(F.sequence(F.lit(2), F.size("cuts")), lambda i: F.substring(F.col("word"), F.element_at("cuts", i - 1), F.element_at("cuts", i) - F.element_at("cuts", i - 1)))
-    encoded = cuts.select("word", parts.alias("pieces"))
-    return encoded.union(words.where(size == 0).select("word", F.array().cast("array<string>").alias("pieces")))
-
-
-#: Bytes of text in a bucket of ``encode_relational``.
-BUCKET = 16 << 20
+    path = F.aggregate(F.sequence(F.lit(1), size), F.array(F.size("state")), earlier)
+    return folded.select(*by, "word", *also, path.alias("cuts"))
+
+
+#: Bytes of text in a chunk of ``encode_relational``; most shards that words are dealt to.
+CHUNK, SHARDS = 16 << 20, 1 << 15
+
+
+def chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
+    """Rows (doc_id, text) in runs of about ``size`` bytes of text, each with a name made of its content."""
+
+    def named(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        digest = xxhash.xxh3_64()
+        for t in table.column(1).to_pylist():
+            digest.update(b"\x00" if t is None else t.encode() + b"\xff")
+        digest.update(str(table.column(0).to_pylist()))
+        return digest.intdigest() - (1 << 63), table
+
+    held, total = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start, base = 0, 0
+        while start < len(batch):
+            last = int(np.searchsorted(ends, base + size - total, "left"))
+            held.append(batch.slice(start, min(last, len(batch) - 1) - start + 1))
+            if last >= len(batch):
+                total += int(ends[-1]) - base
+                break
+            yield named(held)
+            held, total, base, start = [], 0, int(ends[last]), last + 1
+    if held:
+        yield named(held)
+
+
+def shards_of(words, shards: int) -> dict[int, list[str]]:
+    """The words of at most ``LONG`` characters, in order, by shard."""
+    out: dict[int, list[str]] = {}
+    for w in sorted(words):
+        if len(w) <= LONG:
+            out.setdefault(zlib.crc32(w.encode()) % shards, []).append(w)
+    return out
 
 
-def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """What ``encode`` returns, with the lattice of all distinct words made by ``encode_words``.
+def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """What ``encode`` returns, with the lattice of all distinct words made by ``best_paths``.
 
-    Texts are dealt once into buckets of about ``bucket`` bytes by a hash of key and
-    text. A bucket asks for its distinct words, the distinct words of all buckets go
-    through the relational lattice, and each bucket's texts meet its answers; words of
-    more than ``LONG`` characters are folded where the texts are. Rows of equal key and
-    text share a bucket. Null and empty texts have no ids.
+    Runs of rows make chunks of about ``chunk`` bytes, which are shuffled once, packed.
+    A chunk asks for its distinct words; these are dealt by a hash to shards, where each
+    word is folded once for all chunks, and the cuts of its words come back to each
+    chunk, in the order of the words, which need not come back themselves. Words of more
+    than ``LONG`` characters are folded where the texts are; so are a chunk's words where
+    no answer names it, as when a lost input came back in another order. Null and empty
+    texts have no ids; rows are handled one by one.
     """
     spark = df.sparkSession
     small_batches(spark)
     held = read_pieces(model_path)
     pieces = spark.sparkContext.broadcast(held)  # a fixed vocabulary
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // bucket))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "bucket")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = min(SHARDS, max(8, 2 * size // chunk))
+    schema, key_type = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, set[str]] = {}
-        for batch in batches:
-            found: dict[int, set[str]] = {}
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(b, set()).update(split(t))
-            for b, words in found.items():
-                new = [w for w in words - asked.setdefault(b, set()) if len(w) <= LONG]
-                asked[b].update(new)
-                yield pa.record_batch([pa.array([b] * len(new), pa.int32()), pa.array(new, pa.string())], names=["bucket", "word"])
-
-    asked = dealt.select("bucket", "text").mapInArrow(ask, "bucket int, word string").repartition("word")
-    paths = encode_words(asked.select("word"), held.table(spark), longest=held.longest, unknown=held.least - UNKNOWN)
-    answers = asked.join(paths, "word").select("bucket", "word", F.transform("pieces", F.length).alias("sizes"))
+        for name_, table in chunked(batches, chunk):
+            by = shards_of(set(chain.from_iterable(map(split, table.column(1).to_pylist()))), shards)
+            yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array([name_] * len(by), pa.int64()), pa.array([" ".join(w) for w in by.values()], pa.string())], names=["shard", "chunk", "words"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name_, table in chunked(batches, chunk):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                out.write_table(table)
+            yield pa.record_batch([pa.array([name_], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
+
+    asked = rows.mapInArrow(ask, "shard int, chunk long, words string").repartition("shard")
+    words = asked.select("shard", "chunk", F.explode(F.split("words", " ")).alias("word")).groupBy("shard", "word").agg(F.collect_set("chunk").alias("chunks"))
+    paths = best_paths(words, held.table(spark), longest=held.longest, unknown=held.least - UNKNOWN, by=("shard",), carry="chunks")
+    lengths = F.transform(F.sequence(F.lit(2), F.size("cuts")), lambda i: F.char(F.element_at("cuts", i) - F.element_at("cuts", i - 1) + 64))
+    each = paths.select("shard", "word", F.array_join(lengths, "").alias("cut"), F.explode("chunks").alias("chunk"))
+    answers = each.groupBy("shard", "chunk").agg(F.array_sort(F.collect_list(F.struct("word", "cut"))).alias("cuts"))
+    answers = answers.select("chunk", "shard", F.array_join(F.transform("cuts", lambda c: c["cut"]), " ").alias("cuts"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        p, ids_of = pieces.value, {}
-        for word, sizes in zip(right["word"].to_pylist(), right["sizes"].to_pylist(), strict=True):
-            at, raw = 0, b""
-            for n in sizes:
-                place = p.rank.get(word[at : at + n])
-                raw += p.ids[place].tobytes() if place is not None else p.bytes_[list(word[at : at + n].encode())].tobytes()
-                at += n
-            ids_of[word] = raw
-        texts = left["text"].to_pylist()
-        cut = [split(t) for t in texts]
-        ids_of |= {w: fold_long(w, p) for words in cut for w in words if len(w) > LONG}
-        ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, words)), np.int32) for words in cut]
-        same = [decode(i.tolist(), p) == (t or "").replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
-        ends = np.cumsum([0, *map(len, ids)])
-        flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-        return pa.table({"doc_id": left["doc_id"], "ids": flat, "round_trip": pa.array(same, pa.bool_())})
-
-    both = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket"))
-    return both.applyInArrow(meet, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, round_trip boolean")
+        p, tables = pieces.value, [pa.ipc.open_stream(b).read_all() for b in left["packed"].to_pylist()]
+        cut = [[split(t) for t in table.column(1).to_pylist()] for table in tables]
+        every = set(chain.from_iterable(chain.from_iterable(cut)))
+        found = dict(zip(right["shard"].to_pylist(), (c.split(" ") for c in right["cuts"].to_pylist()), strict=True))
+        ids_of = {w: fold_long(w, p) for w in every if len(w) > LONG}
+        number = dict(zip(p.rank, p.ids.tolist(), strict=True))
+        for shard, asked_ in shards_of(every, shards).items():
+            if len(found.get(shard, ())) != len(asked_):
+                ids_of |= zip(asked_, fold(asked_, p), strict=True)
+                continue
+            for word, cuts in zip(asked_, found[shard], strict=True):
+                at, out = 0, []
+                for n in cuts.encode():
+                    piece = word[at : at + n - 64]
+                    at += n - 64
+                    place = number.get(piece)
+                    out += [place] if place is not None else p.bytes_[list(piece.encode())].tolist()
+                ids_of[word] = array("i", out).tobytes()
+        made = []
+        for table, words_ in zip(tables, cut, strict=True):
+            ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, w)), np.int32) for w in words_]
+            same = [decode(i.tolist(), p) == (t or "").replace(SPACE, " ") for i, t in zip(ids, table.column(1).to_pylist(), strict=True)]
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            made.append(pa.table({"doc_id": table.column(0), "ids": flat, "round_trip": pa.array(same, pa.bool_())}))
+        return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], key_type), "ids": pa.array([], pa.list_(pa.int32())), "round_trip": pa.array([], pa.bool_())})
+
+    packed = rows.mapInArrow(pack, "chunk long, packed binary")
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, f"doc_id {schema}, ids array<int>, round_trip boolean")

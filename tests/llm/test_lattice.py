@@ -80,5 +80,5 @@ def test_relational_plan_equals_the_batch_form(spark):
     def result(encode, **more):
         return sorted((str(r.doc_id), list(r.ids), r.round_trip) for r in encode(docs, MODEL, **more).collect())
 
-    assert result(lattice.encode_relational) == result(lattice.encode) == result(lattice.encode_relational, bucket=500)
+    assert result(lattice.encode_relational) == result(lattice.encode) == result(lattice.encode_relational, chunk=500)
     assert lattice.encode_relational(docs.limit(0), MODEL).count() == 0
