@@ -337,8 +337,8 @@ def best_paths(words: DataFrame, table: DataFrame, *, longest: int, unknown: flo
     return folded.select(*by, "word", *also, path.alias("cuts"))
 
 
-#: Bytes of text in a chunk of ``encode_relational``; most shards that words are dealt to.
-CHUNK, SHARDS = 16 << 20, 1 << 15
+#: Bytes of text in a chunk of ``encode_relational`` and for each shard that words are dealt to; most shards.
+CHUNK, SHARD, SHARDS = 16 << 20, 2 << 20, 1 << 15
 
 
 def chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
@@ -394,7 +394,7 @@ def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", te
     pieces = spark.sparkContext.broadcast(held)  # a fixed vocabulary
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = min(SHARDS, max(8, 2 * size // chunk))
+    shards = min(SHARDS, max(8, size // SHARD))  # so many that a shard's edges are grouped in memory
     schema, key_type = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +409,7 @@ def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", te
                 out.write_table(table)
             yield pa.record_batch([pa.array([name_], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
 
-    asked = rows.mapInArrow(ask, "shard int, chunk long, words string").repartition("shard")
+    asked = rows.mapInArrow(ask, "shard int, chunk long, words string").repartition(shards, "shard")
     words = asked.select("shard", "chunk", F.explode(F.split("words", " ")).alias("word")).groupBy("shard", "word").agg(F.collect_set("chunk").alias("chunks"))
     paths = best_paths(words, held.table(spark), longest=held.longest, unknown=held.least - UNKNOWN, by=("shard",), carry="chunks")
     lengths = F.transform(F.sequence(F.lit(2), F.size("cuts")), lambda i: F.char(F.element_at("cuts", i) - F.element_at("cuts", i - 1) + 64))
