@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import chain
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gaugeline.llm.common import small_batches
+from gaugeline.llm.common import small_batches, written
 
 SPACE = "▁"
 #: What a character outside the table costs beyond the worst piece.
@@ -385,8 +386,10 @@ def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", te
     word is folded once for all chunks, and the cuts of its words come back to each
     chunk, in the order of the words, which need not come back themselves. Words of more
     than ``LONG`` characters are folded where the texts are; so are a chunk's words where
-    no answer names it, as when a lost input came back in another order. Null and empty
-    texts have no ids; rows are handled one by one.
+    no answer names it, as when a lost input came back in another order. The cuts are
+    written to the shared folder. Decoding joins what the pieces stand for, so a text comes
+    back if each of its words does, which is tried on every distinct word of a chunk. Null
+    and empty texts have no ids; rows are handled one by one.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -415,35 +418,67 @@ def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", te
     lengths = F.transform(F.sequence(F.lit(2), F.size("cuts")), lambda i: F.char(F.element_at("cuts", i) - F.element_at("cuts", i - 1) + 64))
     each = paths.select("shard", "word", F.array_join(lengths, "").alias("cut"), F.explode("chunks").alias("chunk"))
     answers = each.groupBy("shard", "chunk").agg(F.array_sort(F.collect_list(F.struct("word", "cut"))).alias("cuts"))
-    answers = answers.select("chunk", "shard", F.array_join(F.transform("cuts", lambda c: c["cut"]), " ").alias("cuts"))
+    with grouped_in_memory(spark):
+        answers = written(answers.select("chunk", "shard", F.array_join(F.transform("cuts", lambda c: c["cut"]), " ").alias("cuts")), "cuts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         p, tables = pieces.value, [pa.ipc.open_stream(b).read_all() for b in left["packed"].to_pylist()]
-        cut = [[split(t) for t in table.column(1).to_pylist()] for table in tables]
-        every = set(chain.from_iterable(chain.from_iterable(cut)))
-        found = dict(zip(right["shard"].to_pylist(), (c.split(" ") for c in right["cuts"].to_pylist()), strict=True))
-        ids_of = {w: fold_long(w, p) for w in every if len(w) > LONG}
+        places = Places()
+        cut = [[np.fromiter(map(places.__getitem__, split(t)), np.int32) for t in table.column(1).to_pylist()] for table in tables]
+        found = dict(zip(right["shard"].to_pylist(), right["cuts"].to_pylist(), strict=True))
+        ids_of = {w: fold_long(w, p) for w in places if len(w) > LONG}
         number = dict(zip(p.rank, p.ids.tolist(), strict=True))
-        for shard, asked_ in shards_of(every, shards).items():
-            if len(found.get(shard, ())) != len(asked_):
+        for shard, asked_ in shards_of(places, shards).items():
+            given = found.get(shard, "").encode().split(b" ")
+            if len(given) != len(asked_):
                 ids_of |= zip(asked_, fold(asked_, p), strict=True)
                 continue
-            for word, cuts in zip(asked_, found[shard], strict=True):
+            for word, cuts in zip(asked_, given, strict=True):
                 at, out = 0, []
-                for n in cuts.encode():
+                for n in cuts:
                     piece = word[at : at + n - 64]
                     at += n - 64
                     place = number.get(piece)
-                    out += [place] if place is not None else p.bytes_[list(piece.encode())].tolist()
+                    if place is None:
+                        out += p.bytes_[list(piece.encode())].tolist()
+                    else:
+                        out.append(place)
                 ids_of[word] = array("i", out).tobytes()
+        raw = [ids_of[w] for w in places]
+        bad = {k for k, (w, r) in enumerate(zip(places, raw, strict=True)) if b"".join(map(p.raw.__getitem__, array("i", r))) != w.encode()}
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.int32)
         made = []
-        for table, words_ in zip(tables, cut, strict=True):
-            ids = [np.frombuffer(b"".join(map(ids_of.__getitem__, w)), np.int32) for w in words_]
-            same = [decode(i.tolist(), p) == (t or "").replace(SPACE, " ") for i, t in zip(ids, table.column(1).to_pylist(), strict=True)]
+        for table, rows_ in zip(tables, cut, strict=True):
+            ids = []
+            for at in rows_:
+                n = sizes[at]
+                ids.append(flat[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            same = [bad.isdisjoint(at.tolist()) for at in rows_] if bad else [True] * len(rows_)
             ends = np.cumsum([0, *map(len, ids)])
-            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            made.append(pa.table({"doc_id": table.column(0), "ids": flat, "round_trip": pa.array(same, pa.bool_())}))
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            made.append(pa.table({"doc_id": table.column(0), "ids": listed, "round_trip": pa.array(same, pa.bool_())}))
         return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], key_type), "ids": pa.array([], pa.list_(pa.int32())), "round_trip": pa.array([], pa.bool_())})
 
     packed = rows.mapInArrow(pack, "chunk long, packed binary")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, f"doc_id {schema}, ids array<int>, round_trip boolean")
+
+
+class Places(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+@contextmanager
+def grouped_in_memory(spark: SparkSession):
+    """Lists of a shard's words are gathered in a hash table, which ``SHARD`` bounds, and not sorted; the setting is put back."""
+    name_ = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name_)
+    spark.conf.set(name_, str(1 << 16))
+    try:
+        yield
+    finally:
+        spark.conf.set(name_, before)
