@@ -33,6 +33,9 @@ SHAFT_LOWER = {
 }
 # The coarsest grade at which a hole of the letter is corrected.
 CORRECTED = {"k": 8, "m": 8, "n": 8, "p": 7}
+# Grades as multiples of the tolerance factor; factor and exponent of the deviations that have a formula, micrometres.
+MULTIPLES = {5: 7, 6: 10, 7: 16, 8: 25, 9: 40, 10: 64, 11: 100, 12: 160, 13: 250, 14: 400, 15: 640, 16: 1000}
+POWERS = {"d": (-16.0, 0.44), "e": (-11.0, 0.41), "f": (-5.5, 0.41), "g": (-2.5, 0.34), "h": (0.0, 1.0), "k": (0.6, 1 / 3), "n": (5.0, 0.34)}
 # One decade of the Renard series.
 RENARD = {
     5: (1.00, 1.60, 2.50, 4.00, 6.30),
@@ -96,6 +99,36 @@ def fit_limits(nominal: Column, designation: Column) -> Column:
     return F.struct((upper + 0.0).alias("upper"), (lower + 0.0).alias("lower"))
 
 
+def limit_sizes(nominal: Column, limits: Column, hole: Column) -> Column:
+    """Struct of a fit's width, its sizes of most and of least material, and its bounds, from the deviations."""
+    low, high = nominal + limits["lower"], nominal + limits["upper"]
+    return F.struct((limits["upper"] - limits["lower"]).alias("width"), F.when(hole, low).otherwise(high).alias("most_material"), F.when(hole, high).otherwise(low).alias("least_material"), low.alias("low"), high.alias("high"))
+
+
+def mean_size(d: Column) -> Column:
+    """Geometric mean of the bounds of a diameter's size range; the first range begins at 1."""
+    place = size_range(d)
+    low = F.array(F.lit(1.0), *(F.lit(float(r)) for r in RANGES[:-1]))
+    return F.sqrt(F.element_at(low, place) * F.element_at(F.array(*(F.lit(float(r)) for r in RANGES)), place))
+
+
+def formula_width(d: Column, grade: Column) -> Column:
+    """A grade's width in mm by the rule behind the table, for grades 5 to 16; null elsewhere."""
+    mean, times = mean_size(d), F.create_map(*[F.lit(x) for kv in MULTIPLES.items() for x in kv])
+    return F.try_element_at(times, grade) * (0.45 * F.pow(mean, F.lit(1 / 3)) + 0.001 * mean) * 1e-3
+
+
+def formula_deviation(d: Column, letter: Column) -> Column:
+    """A shaft's fundamental deviation in mm by the rule behind the table; null for letters without one.
+
+    That of m is the step from grade 6 to grade 7.
+    """
+    mean, out = mean_size(d), F.when(letter == "m", it_grade(d, F.lit(7)) - it_grade(d, F.lit(6)))
+    for key, (factor, power) in POWERS.items():
+        out = out.when(letter == key, factor * F.pow(mean, F.lit(power)) * 1e-3)
+    return out
+
+
 def renard(series: int, low: float, high: float) -> list[float]:
     """The series' values from low to high."""
     if series not in RENARD or not 0 < low <= high:

@@ -50,3 +50,11 @@ def remove_covered(chars: DataFrame, datums: DataFrame, regions: list[tuple[floa
 def destroyed(before: DataFrame, after: DataFrame) -> DataFrame:
     """Drawings of which no callout is left."""
     return before.select(KEY).distinct().join(after.select(KEY).distinct(), KEY, "left_anti")
+
+
+def all_boxes(chars: DataFrame, datums: DataFrame, *, key: str = "drawing_id", leader: str = "leader") -> DataFrame:
+    """Every box of a drawing as (key, kind, owner, attribute, box): of datums, of callouts, and where their leaders point, if they have one."""
+    of_datums = datums.select(key, F.lit("datum").alias("kind"), F.col("label").alias("owner"), F.lit("bbox").alias("attribute"), F.col("bbox").alias("box"))
+    both = F.array(F.struct(F.lit("bbox").alias("attribute"), F.col("bbox").alias("box")), F.struct(F.lit(leader).alias("attribute"), F.col(leader).alias("box")))
+    listed = chars.select(key, F.col("id").cast("string").alias("owner"), F.explode(F.filter(both, lambda b: b["box"].isNotNull())).alias("b"))
+    return of_datums.unionByName(listed.select(key, F.lit("characteristic").alias("kind"), "owner", "b.attribute", "b.box"))

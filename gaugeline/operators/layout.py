@@ -182,3 +182,25 @@ def dedupe(items: DataFrame, *, key: str = "drawing_id", order: str = "id", conf
 def pattern_centres(radius: Column, count: Column, x: Column, y: Column) -> Column:
     """Centres of holes equally spaced on a circle."""
     return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct((x + radius * F.cos(2 * math.pi * k / count)).alias("x"), (y + radius * F.sin(2 * math.pi * k / count)).alias("y")))
+
+
+def grid_centres(views: DataFrame, *, gap: float, key: str = "drawing_id", third_angle: bool = True) -> DataFrame:
+    """Centres of views (key, view, col, row, wide, high) on a grid: (key, view, x, y), from the lower left corner.
+
+    A column is as wide as its widest view, a row as high as its highest; views stand
+    in the middle of their cells. First angle puts each view on the other side of the
+    primary one. A sheet has a handful of views, so the running sums are small windows.
+    """
+    sign = 1 if third_angle else -1
+    placed = views.withColumn("col", F.col("col") * sign).withColumn("row", F.col("row") * sign)
+    for cell, extent, centre in (("col", "wide", "x"), ("row", "high", "y")):
+        lanes = placed.groupBy(key, cell).agg(F.max(extent).alias("most"))
+        before = Window.partitionBy(key).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        lanes = lanes.select(key, cell, (F.coalesce(F.sum(F.col("most") + gap).over(before), F.lit(0.0)) + F.col("most") / 2).alias(centre))
+        placed = placed.join(lanes, [key, cell])
+    return placed.select(key, "view", "x", "y")
+
+
+def placement_order(chars: DataFrame, importance: Column, *, key: str = "drawing_id", order: str = "id") -> DataFrame:
+    """(key, id, turn): callouts in the order in which they are placed, the most important first, ties as listed."""
+    return chars.select(key, "id", F.row_number().over(Window.partitionBy(key).orderBy(importance.desc(), order)).alias("turn"))

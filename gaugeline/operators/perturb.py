@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeline.constants import MM_PER_INCH
+from gaugeline.functions.writing import value_text
 from gaugeline.operators.verification import frame_types, sufficient
 
 KEY = "drawing_id"
@@ -39,6 +40,14 @@ def perturb_nominal(chars: DataFrame, seed: int) -> DataFrame:
     return rows.select(KEY, "id", before.alias("before"), F.bround(after, 4).alias("after")).where(F.abs(F.col("after") - F.col("before")) >= 1e-6)
 
 
+def rewritten(chars: DataFrame, changes: DataFrame) -> DataFrame:
+    """The callouts with changed sizes (drawing_id, id, before, after) put in, in the number and in the text that shows it."""
+    hit = chars.join(changes.select(KEY, "id", F.col("before").alias("__before"), F.col("after").alias("__after")), [KEY, "id"], "left")
+    old, new = (value_text(F.col(c), 4, zeros=False) for c in ("__before", "__after"))
+    text = F.when(F.col("__after").isNotNull(), F.replace(F.coalesce("raw_text", F.lit("")), old, new)).otherwise(F.col("raw_text"))
+    return hit.withColumn("raw_text", text).withColumn("nominal", F.coalesce("__after", "nominal")).drop("__before", "__after")
+
+
 def _labels(refs: str = "datum_refs") -> Column:
     return F.transform(refs, lambda r: r["label"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +29,21 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for others to build on."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
+@cache
 def _load() -> None:
-    from gaugeline.plans import drawings, evaluation, files, parts, sheets, verification  # noqa: F401  modules register their queries
-
-
-_load()
+    from gaugeline.plans import drawings, evaluation, files, layouts, parts, sheets, verification  # noqa: F401  modules register their queries

@@ -125,3 +125,8 @@ def solid_of(drawings: DataFrame, listing: DataFrame) -> DataFrame:
 def unfinished(drawings: DataFrame, done: DataFrame) -> DataFrame:
     """Drawings without an output yet."""
     return drawings.join(done.select(KEY).distinct(), KEY, "left_anti")
+
+
+def limited(drawings: DataFrame, most: int | None, *, order: str = KEY) -> DataFrame:
+    """The first drawings of a run, in order; all without a limit."""
+    return drawings if most is None else drawings.orderBy(order).limit(most)
