@@ -339,7 +339,7 @@ def best_paths(words: DataFrame, table: DataFrame, *, longest: int, unknown: flo
 
 
 #: Bytes of text in a chunk of ``encode_relational`` and for each shard that words are dealt to; most shards.
-CHUNK, SHARD, SHARDS = 16 << 20, 2 << 20, 1 << 15
+CHUNK, SHARD, SHARDS = 8 << 20, 1 << 20, 1 << 15
 
 
 def chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
