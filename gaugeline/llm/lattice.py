@@ -15,8 +15,6 @@ so the words of a document need not be shuffled to meet their pieces and back.
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -70,6 +68,11 @@ class Pieces:
         self.whole, self.begun = np.zeros(FILTER, bool), np.zeros(FILTER, bool)
         self.whole[hashes & np.uint64(FILTER - 1)] = True
         self.begun[name(list({t[:k] for t in self.texts for k in range(1, len(t))}), self.longest) & np.uint64(FILTER - 1)] = True
+        # neighbours within a piece: between others every path has an edge's end
+        self.joined = np.zeros(FILTER, bool)
+        for k in range(1, self.codes.shape[1]):
+            inner = self.codes[:, k] > 0
+            self.joined[pair(self.codes[inner, k - 1] - np.uint32(1), self.codes[inner, k] - np.uint32(1))] = True
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The pieces as rows (piece, id, score)."""
@@ -118,6 +121,11 @@ def step(held: np.ndarray, code: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A place in a bit table for each two code points."""
+    return (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)
+
+
 def fold(words: list[str], pieces: Pieces) -> list[bytes]:
     """The ids of each word's best path, as the bytes of 32-bit numbers, so that texts are joins of words."""
     if not words:
@@ -208,6 +216,53 @@ def split(text: str | None) -> list[str]:
     return _SPLIT(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+#: Characters of text that are cut into words at once.
+BLOCK = 1 << 20
+
+
+def finer(texts: list[str | None], pieces: Pieces) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has.
+
+    They are those of ``split``, cut also between any two characters that stand side by
+    side in no piece (but for collisions in a bit table). No edge crosses such a place, so
+    the best path of a word is the best paths of its parts, and more words are alike.
+    """
+    made, counts, at = [], np.zeros(len(texts), np.int64), 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and held < BLOCK:
+            held += len(texts[end] or "")
+            end += 1
+        part = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts[at:end]]
+        line = "".join(part)
+        if line:
+            codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+            blank, line_end, begins = codes == ord(SPACE), codes == ord("\n"), np.ones(len(codes), bool)
+            begins[1:] = ~pieces.joined[pair(codes[:-1], codes[1:])] | (blank[1:] & ~blank[:-1]) | line_end[1:] | line_end[:-1]
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+            before = np.concatenate([[0], np.cumsum(begins)])
+            counts[at:end] = np.diff(before[np.concatenate([[0], np.cumsum(sizes)])])
+            data = line.encode()
+            ends = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[begins], len(data)).astype(np.int32)
+            made.append(pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data)))
+        at = end
+    return (pa.concat_arrays(made) if made else pa.array([], pa.string())), counts
+
+
+def laid_out(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words and where each begins, with the end of the last."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2], np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Encoder:
     """Encodes texts; the ids of short words are kept up to a bound."""
 
@@ -312,7 +367,7 @@ def best_paths(words: DataFrame, table: DataFrame, *, longest: int, unknown: flo
     spans = spans.select(*by, "word", *(F.when(first, F.col(c)).alias(c) for c in also), "begin", "chars", F.substring("word", F.col("begin"), F.col("chars")).alias("piece"))
     edges = spans.join(F.broadcast(table), "piece", "left").withColumn("score", F.coalesce("score", F.when(F.col("chars") == 1, F.lit(unknown))))
     edges = edges.where(F.col("score").isNotNull()).select(*by, "word", *also, F.struct((F.col("begin") + F.col("chars") - 1).alias("end"), "begin", "score").alias("edge"))
-    lattice = edges.groupBy(*by, "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in also))
+    lattice = edges.groupBy(*by, "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in also))
 
     # the fold holds, for each position from 0 on, the best score there and where its last edge begins;
     # edges come by their end, so all that lead to an edge's beginning have been seen
@@ -369,22 +424,71 @@ def chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
         yield named(held)
 
 
-def shards_of(words, shards: int) -> dict[int, list[str]]:
-    """The words of at most ``LONG`` characters, in order, by shard."""
-    out: dict[int, list[str]] = {}
-    for w in sorted(words):
-        if len(w) <= LONG:
-            out.setdefault(zlib.crc32(w.encode()) % shards, []).append(w)
-    return out
+def dealt(words: pa.StringArray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the words of at most ``LONG`` characters, by shard and in order within it, and their shards."""
+    short = np.flatnonzero(pc.utf8_length(words).to_numpy() <= LONG)
+    data, starts = laid_out(words.take(pa.array(short)))
+    if not len(short):
+        return short, np.zeros(0, np.int32)
+    within = np.arange(len(data)) - np.repeat(starts[:-1], np.diff(starts))
+    mixed = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _POWERS[within], starts[:-1])
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    shard = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    return short[order], shard[order]
+
+
+#: A factor for each byte of a short word.
+_POWERS = np.cumprod(np.full(4 * LONG, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def edges_of(words: pa.StringArray, cuts: bytes, pieces: Pieces) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ids of the words, one after the other, and how many each has; None where the cuts are not theirs.
+
+    ``cuts`` has the characters of each edge as a sign, 64 up, and a blank between words.
+    """
+    if not len(words):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    data, _ = laid_out(words)
+    signs = np.frombuffer(cuts, np.uint8)
+    blank = np.flatnonzero(signs == 32)
+    many = np.diff(np.concatenate([[-1], blank, [len(signs)]])) - 1
+    chars = signs[signs != 32].astype(np.int64) - 64
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(many) != len(words) or (many < 1).any() or chars.sum() != len(heads):
+        return None
+    starts = np.append(heads[np.cumsum(chars) - chars], len(data))
+    edges = pa.StringArray.from_buffers(len(chars), pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data))
+    place = pc.fill_null(pc.index_in(edges, value_set=pa.array(pieces.texts)), -1).to_numpy()
+    known, size = place >= 0, np.diff(starts)
+    each = np.where(known, 1, size)  # a character outside the table: its bytes
+    ids = np.repeat(pieces.ids[place], each)
+    other = ~known
+    ids[runs((np.cumsum(each) - each)[other], size[other])] = pieces.bytes_[data[runs(starts[:-1][other], size[other])]]
+    return ids, np.add.reduceat(each, np.cumsum(many) - many)
+
+
+def undone(words: pa.StringArray, ids: np.ndarray, many: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Whether what a word's ids stand for, joined, is not the word."""
+    if not len(words):
+        return np.zeros(0, bool)
+    sizes = np.fromiter(map(len, pieces.raw), np.int64, len(pieces.raw))
+    raw, begin = np.frombuffer(b"".join(pieces.raw), np.uint8), np.cumsum(sizes) - sizes
+    data, starts = laid_out(words)
+    back = raw[runs(begin[ids], sizes[ids])]
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(many)])]
+    if np.array_equal(ends, starts) and np.array_equal(back, data):
+        return np.zeros(len(words), bool)
+    return np.array([not np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], starts[:-1], starts[1:], strict=True)])
 
 
 def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """What ``encode`` returns, with the lattice of all distinct words made by ``best_paths``.
 
     Runs of rows make chunks of about ``chunk`` bytes, which are shuffled once, packed.
-    A chunk asks for its distinct words; these are dealt by a hash to shards, where each
-    word is folded once for all chunks, and the cuts of its words come back to each
-    chunk, in the order of the words, which need not come back themselves. Words of more
+    A chunk asks for its distinct words, those of ``finer``; these are dealt by a hash to
+    shards, where each word is folded once for all chunks, and the cuts of its words come
+    back to each chunk, in the order of the words, which need not come back themselves. Words of more
     than ``LONG`` characters are folded where the texts are; so are a chunk's words where
     no answer names it, as when a lost input came back in another order. The cuts are
     written to the shared folder. Decoding joins what the pieces stand for, so a text comes
@@ -402,8 +506,11 @@ def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", te
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name_, table in chunked(batches, chunk):
-            by = shards_of(set(chain.from_iterable(map(split, table.column(1).to_pylist()))), shards)
-            yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array([name_] * len(by), pa.int64()), pa.array([" ".join(w) for w in by.values()], pa.string())], names=["shard", "chunk", "words"])
+            words = finer(table.column(1).to_pylist(), pieces.value)[0].unique()
+            places, shard = dealt(words, shards)
+            by, firsts = np.unique(shard, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(shard)), pa.int32()), words.take(pa.array(places)))
+            yield pa.record_batch([pa.array(by, pa.int32()), pa.array([name_] * len(by), pa.int64()), pc.binary_join(lists, " ")], names=["shard", "chunk", "words"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name_, table in chunked(batches, chunk):
@@ -412,66 +519,52 @@ def encode_relational(df: DataFrame, model_path: str, *, key: str = "doc_id", te
                 out.write_table(table)
             yield pa.record_batch([pa.array([name_], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
 
-    asked = rows.mapInArrow(ask, "shard int, chunk long, words string").repartition(shards, "shard")
-    words = asked.select("shard", "chunk", F.explode(F.split("words", " ")).alias("word")).groupBy("shard", "word").agg(F.collect_set("chunk").alias("chunks"))
+    asked = rows.mapInArrow(ask, "shard int, chunk long, words string").repartition(shards, "shard").distinct()  # equal chunks ask once
+    words = asked.select("shard", "chunk", F.posexplode(F.split("words", " ")).alias("at", "word")).groupBy("shard", "word").agg(F.collect_list(F.struct("chunk", "at")).alias("chunks"))
     paths = best_paths(words, held.table(spark), longest=held.longest, unknown=held.least - UNKNOWN, by=("shard",), carry="chunks")
     lengths = F.transform(F.sequence(F.lit(2), F.size("cuts")), lambda i: F.char(F.element_at("cuts", i) - F.element_at("cuts", i - 1) + 64))
-    each = paths.select("shard", "word", F.array_join(lengths, "").alias("cut"), F.explode("chunks").alias("chunk"))
-    answers = each.groupBy("shard", "chunk").agg(F.array_sort(F.collect_list(F.struct("word", "cut"))).alias("cuts"))
+    each = paths.select("shard", F.array_join(lengths, "").alias("cut"), F.inline("chunks"))
+    answers = each.groupBy("shard", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", "cut"))).alias("cuts"))
     with grouped_in_memory(spark):
-        answers = written(answers.select("chunk", "shard", F.array_join(F.transform("cuts", lambda c: c["cut"]), " ").alias("cuts")), "cuts")
+        answers = written(answers.select("chunk", "shard", F.array_join(F.col("cuts")["cut"], " ").alias("cuts")), "cuts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         p, tables = pieces.value, [pa.ipc.open_stream(b).read_all() for b in left["packed"].to_pylist()]
-        places = Places()
-        cut = [[np.fromiter(map(places.__getitem__, split(t)), np.int32) for t in table.column(1).to_pylist()] for table in tables]
-        found = dict(zip(right["shard"].to_pylist(), right["cuts"].to_pylist(), strict=True))
-        ids_of = {w: fold_long(w, p) for w in places if len(w) > LONG}
-        number = dict(zip(p.rank, p.ids.tolist(), strict=True))
-        for shard, asked_ in shards_of(places, shards).items():
-            given = found.get(shard, "").encode().split(b" ")
-            if len(given) != len(asked_):
-                ids_of |= zip(asked_, fold(asked_, p), strict=True)
-                continue
-            for word, cuts in zip(asked_, given, strict=True):
-                at, out = 0, []
-                for n in cuts:
-                    piece = word[at : at + n - 64]
-                    at += n - 64
-                    place = number.get(piece)
-                    if place is None:
-                        out += p.bytes_[list(piece.encode())].tolist()
-                    else:
-                        out.append(place)
-                ids_of[word] = array("i", out).tobytes()
-        raw = [ids_of[w] for w in places]
-        bad = {k for k, (w, r) in enumerate(zip(places, raw, strict=True)) if b"".join(map(p.raw.__getitem__, array("i", r))) != w.encode()}
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.int32)
-        made = []
-        for table, rows_ in zip(tables, cut, strict=True):
-            ids = []
-            for at in rows_:
-                n = sizes[at]
-                ids.append(flat[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-            same = [bad.isdisjoint(at.tolist()) for at in rows_] if bad else [True] * len(rows_)
-            ends = np.cumsum([0, *map(len, ids)])
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            made.append(pa.table({"doc_id": table.column(0), "ids": listed, "round_trip": pa.array(same, pa.bool_())}))
-        return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], key_type), "ids": pa.array([], pa.list_(pa.int32())), "round_trip": pa.array([], pa.bool_())})
+        if not tables:
+            return pa.table({"doc_id": pa.array([], key_type), "ids": pa.array([], pa.list_(pa.int32())), "round_trip": pa.array([], pa.bool_())})
+        table = pa.concat_tables(tables)
+        all_, counts = finer(table.column(1).to_pylist(), p)
+        coded = all_.dictionary_encode()
+        words, spots = coded.dictionary, coded.indices.to_numpy()
+        places, shard = dealt(words, shards)
+        given = dict(zip(right["shard"].to_pylist(), right["cuts"].to_pylist(), strict=True))
+        by, firsts, asked_ = np.unique(shard, return_index=True, return_counts=True)
+        whole = np.array([given.get(s, "").count(" ") + 1 == n for s, n in zip(by.tolist(), asked_.tolist(), strict=True)], bool)
+        answered = np.repeat(whole, asked_)
+        found = edges_of(words.take(pa.array(places[answered])), " ".join(given[s] for s in by[whole].tolist()).encode(), p)
+        if found is None:
+            answered, found = np.zeros(len(places), bool), (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        # words without an answer, and long ones
+        rest = np.concatenate([places[~answered], np.setdiff1d(np.arange(len(words)), places)]).astype(np.int64)
+        unfolded = words.take(pa.array(rest)).to_pylist()
+        missing = len(places) - int(answered.sum())
+        raw = [*fold(unfolded[:missing], p), *(fold_long(w, p) for w in unfolded[missing:])]
+        ids = np.concatenate([found[0], np.frombuffer(b"".join(raw), np.int32)])
+        many = np.concatenate([found[1], np.fromiter(map(len, raw), np.int64, len(raw)) // 4])
+        order = np.concatenate([places[answered], rest]).astype(np.int64)
+        bad, back = undone(words.take(pa.array(order)), ids, many, p), np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        spots = back[spots]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(ids)).take(pa.array(spots))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        listed = pa.ListArray.from_arrays(lists.offsets.take(pa.array(ends)), lists.values)
+        same = np.diff(np.concatenate([[0], np.cumsum(bad[spots])])[ends]) == 0
+        return pa.table({"doc_id": table.column(0), "ids": listed, "round_trip": pa.array(same, pa.bool_())})
 
     packed = rows.mapInArrow(pack, "chunk long, packed binary")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, f"doc_id {schema}, ids array<int>, round_trip boolean")
 
 
-class Places(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        return place
-
-
 @contextmanager
 def grouped_in_memory(spark: SparkSession):
     """Lists of a shard's words are gathered in a hash table, which ``SHARD`` bounds, and not sorted; the setting is put back."""

@@ -1,13 +1,16 @@
+import pathlib
 import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from gaugeline.llm import lattice
+from gaugeline.llm.common import shared_folder
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -82,3 +85,36 @@ def test_relational_plan_equals_the_batch_form(spark):
 
     assert result(lattice.encode_relational) == result(lattice.encode) == result(lattice.encode_relational, chunk=500)
     assert lattice.encode_relational(docs.limit(0), MODEL).count() == 0
+
+
+def test_words_are_cut_where_no_piece_goes_on(pieces):
+    texts = [*some_texts(200, 11), None, "", "▁ ▁\n\n,", "the end, the end.", "x" * 80 + "日本" * 40]
+    words, counts = lattice.finer(texts, pieces)
+    words, at = words.to_pylist(), 0
+    for text, n, ids in zip(texts, counts.tolist(), lattice.Encoder(pieces).encode(texts), strict=True):
+        mine, at = words[at : at + n], at + n
+        assert "".join(mine) == "".join(lattice.split(text))
+        assert b"".join(lattice.fold_long(w, pieces) for w in mine) == ids.tobytes()
+    assert at == len(words) and {"▁end", ",", "."} <= set(words)
+
+
+def test_each_part_of_a_word_is_asked_for_once(spark):
+    """Four words with five signs each: their twenty forms have nine parts."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    seen = set(folder.glob("cuts-*"))
+    docs = spark.createDataFrame([(1, " ".join(w + s for w in ("end", "house", "water", "light") for s in ",.;:!"))], "doc_id long, text string")
+    assert lattice.encode_relational(docs, MODEL).first().round_trip
+    (made,) = set(folder.glob("cuts-*")) - seen
+    assert sum(len(r.cuts.split(" ")) for r in spark.read.parquet(str(made)).collect()) == 9
+
+
+def test_answers_of_other_words_are_not_taken(pieces):
+    words = pa.array(["▁the", "日", "𓀀", "▁of"])
+    assert "𓀀" not in pieces.rank
+    ids, many = lattice.edges_of(words, b"D A A C", pieces)
+    the, day, of = (int(pieces.ids[pieces.rank[t]]) for t in ("▁the", "日", "▁of"))
+    assert ids.tolist() == [the, day, *pieces.bytes_[list("𓀀".encode())].tolist(), of] and many.tolist() == [1, 1, 4, 1]
+    assert not lattice.undone(words, ids, many, pieces).any()
+    assert lattice.edges_of(words, b"D A A", pieces) is None and lattice.edges_of(words, b"D A A D", pieces) is None
+    ids[0] = ids[-1]
+    assert lattice.undone(words, ids, many, pieces).tolist() == [True, False, False, False]
