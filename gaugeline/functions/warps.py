@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 PointMap = Callable[[Column, Column], tuple[Column, Column]]
 #: Points sampled on each edge of a box.
 EDGE_STEPS = 8
+#: The largest double.
+FINITE = float(np.finfo(float).max)
 
 
 @dataclass(frozen=True)
@@ -84,6 +86,28 @@ class Barrel:
         found = F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.struct(u.alias("u"), v.alias("v")), closer)
         return self._back(found["u"], found["v"])
 
+    def bounds(self, box: Column) -> Column:
+        """What ``_outline_box`` gives of an ordered box, from its four sides alone; ``k`` must not be negative.
+
+        A coordinate grows with itself, so each bound is on one side. Along a side the
+        shift grows with the distance from the middle: towards the middle the bound is at
+        the sample nearest to it, away from it at the farther end.
+        """
+
+        def squares(low: Column, high: Column, place: int) -> tuple[Column, Column]:
+            points = [low + (high - low) * (k / EDGE_STEPS) for k in range(EDGE_STEPS + 1)]
+            every = [r * r for r in (self._rel(p, p)[place] for p in points)]
+            return F.least(*every), F.greatest(every[0], every[-1])
+
+        def moved(r: Column, other: Column) -> Column:
+            return r * (1.0 + self.k * (r * r + other))
+
+        (u0, v0), (u1, v1) = self._rel(box["x0"], box["y0"]), self._rel(box["x1"], box["y1"])
+        (near_u, far_u), (near_v, far_v) = squares(box["x0"], box["x1"], 0), squares(box["y0"], box["y1"], 1)
+        low = [moved(r, F.when(r < 0, far).otherwise(near)) for r, near, far in ((u0, near_v, far_v), (v0, near_u, far_u))]
+        high = [moved(r, F.when(r < 0, near).otherwise(far)) for r, near, far in ((u1, near_v, far_v), (v1, near_u, far_u))]
+        return F.struct(*(v.alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), (*self._back(*low), *self._back(*high)), strict=True)))
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -129,11 +153,15 @@ def map_box(box: Column, move: PointMap) -> Column:
     """Upright bounds of a box after a point map.
 
     The identity is the box itself; of a homography the four corners are enough,
-    but where the box crosses the line that goes to infinity. Other maps bend
-    edges, so points along the whole outline are mapped.
+    but where the box crosses the line that goes to infinity. Barrel distortion
+    has its bounds on known sides. Other maps bend edges, so points along the
+    whole outline are mapped, as they are of boxes turned inside out or not finite.
     """
     if move == IDENTITY:
         return box
+    if isinstance(move, Barrel) and move.k >= 0:
+        ordered = (box["x1"] - box["x0"]).between(0.0, FINITE) & (box["y1"] - box["y0"]).between(0.0, FINITE)
+        return F.when(ordered, move.bounds(box)).otherwise(_outline_box(box, move))
     if not isinstance(move, Homography):
         return _outline_box(box, move)
     spots = [(box[x], box[y]) for x in ("x0", "x1") for y in ("y0", "y1")]

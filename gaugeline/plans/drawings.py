@@ -211,7 +211,8 @@ ROUNDED = "SELECT drawing_id, id, round(x0, 4) AS x0, round(y0, 4) AS y0, round(
 
 
 def _map(spark, sf_dir, move):
-    rows = chars(spark, sf_dir).withColumn("b", warps.map_box(F.col("bbox"), move))
+    """Moved boxes of all callouts, also of those without a drawing, as in the SQL."""
+    rows = view(spark, sf_dir, "gt_char").select(KEY, "id", F.struct("x0", "y0", "x1", "y1").alias("bbox")).withColumn("b", warps.map_box(F.col("bbox"), move))
     return rows.select(KEY, "id", *(F.round(f"b.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
