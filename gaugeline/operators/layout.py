@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,43 +54,64 @@ def _gathered(runs: DataFrame, page: str, order: Column, between: str, rotated:
     return one.select(page, "run", F.array_join(F.transform("ws", lambda w: w["text"]), between).alias("text"), F.size("ws").alias("words"), "box", "height", F.lit(rotated).alias("rotated"))
 
 
-def _stacked(a: dict, b: dict) -> bool:
-    """Whether b is directly above or below a: mostly the same columns, about one centre, a small gap."""
-    shared = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
-    widths = [c["x1"] - c["x0"] for c in (a, b)]
-    off = abs(a["x0"] + a["x1"] - b["x0"] - b["x1"]) / 2
-    if shared <= 0 or shared < 0.5 * max(min(widths), 1e-6) or off > 0.6 * max(widths):
-        return False
-    high = max(a["height"], b["height"])
-    gap = b["y0"] - a["y1"] if b["y0"] >= a["y1"] else a["y0"] - b["y1"]
-    return -OVERHANG * high <= gap <= STACK_GAP * high
+@F.arrow_udf(returnType=T.ArrayType(T.ArrayType(T.IntegerType())))
+def _hosted(boxes: pa.Array) -> pa.Array:
+    """The places of the lines of each callout, callouts in order of their first line.
 
-
-STACKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1", "height"))]))
-
-
-@F.udf(returnType=STACKS, useArrow=True)
-def _merged(lines):
-    out: list[dict] = []
-    for line in lines if lines is not None else []:
-        new = {"text": line["text"], "height": line["height"], **{c: line["box"][c] for c in ("x0", "y0", "x1", "y1")}}
-        host = next((o for o in out if _stacked(o, new)), None)
-        if host is None:
-            out.append(new)
-        else:
-            host |= {"text": f"{host['text']} {new['text']}" if not line["rotated"] else host["text"] + new["text"], "height": max(host["height"], new["height"])}
-            host |= {c: pick(host[c], new[c]) for c, pick in (("x0", min), ("y0", min), ("x1", max), ("y1", max))}
-    return out
+    A line joins the first callout that it stands on: mostly the same columns, about
+    one centre, a small gap. Boxes are read from Arrow's own buffers, so a batch of
+    pages takes 40 bytes a line here, and only one page's callouts are held. A line
+    without a box (NaN here) stands on none.
+    """
+    sizes = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(boxes), 0).to_numpy(zero_copy_only=False)))
+    flat = boxes.flatten()
+    edges = [pc.struct_field(flat, [k]) for k in range(5)]
+    groups, lengths, places = [0], [], []
+    for start, stop in itertools.pairwise(sizes.tolist()):
+        made: list[list[float]] = []  # callouts as they have grown: x0, y0, x1, y1, height
+        members: list[list[int]] = []
+        for k, (x0, y0, x1, y1, high) in enumerate(zip(*(e.slice(start, stop - start).to_numpy(zero_copy_only=False).tolist() for e in edges), strict=True)):
+            for m, of in zip(made, members, strict=True):
+                a0, b0, a1, b1, h = m
+                shared = (a1 if a1 < x1 else x1) - (a0 if a0 > x0 else x0)
+                if shared > 0:
+                    wide, width, most = a1 - a0, x1 - x0, max(h, high)
+                    gap = y0 - b1 if y0 >= b1 else b0 - y1
+                    if -OVERHANG * most <= gap <= STACK_GAP * most and shared >= 0.5 * max(min(wide, width), 1e-6) and abs(a0 + a1 - x0 - x1) / 2 <= 0.6 * max(wide, width):
+                        m[:] = min(a0, x0), min(b0, y0), max(a1, x1), max(b1, y1), most
+                        of.append(k)
+                        break
+            else:
+                made.append([x0, y0, x1, y1, high])
+                members.append([k])
+        lengths += map(len, members)
+        places += itertools.chain.from_iterable(members)
+        groups.append(len(lengths))
+    inner = pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype("int32"), pa.array(places, pa.int32()))
+    return pa.ListArray.from_arrays(np.array(groups, "int32"), inner)
 
 
 def merge_stacks(lines: DataFrame, *, page: str = "page_id") -> DataFrame:
     """Lines that stand on each other joined to one callout, in order; a callout grows as it takes lines.
 
-    The outcome depends on the order, so a page's lines go to one function call;
-    a page is a sheet, its lines a few hundred.
+    The outcome depends on the order, so a page's boxes go to one function call;
+    a page is a sheet, its lines a few hundred. Texts stay where they are.
     """
+    edges = {"x0": F.array_min, "y0": F.array_min, "x1": F.array_max, "y1": F.array_max}
     gathered = lines.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("run", "text", "box", "height", "rotated"))).alias("lines"))
-    return gathered.select(page, F.posexplode(_merged("lines")).alias("pos", "c")).select(page, "pos", "c.*")
+    boxes = F.transform("lines", lambda c: F.struct(*(c["box"][e].cast("double").alias(e) for e in edges), c["height"].cast("double").alias("height")))
+
+    def each(of: Column, e: str) -> Column:
+        return F.transform(of, lambda c: c["box"][e].cast("double"))
+
+    def merged(places: Column) -> Column:
+        of = F.transform(places, lambda k: F.element_at("lines", k + 1))
+        text = F.array_join(F.transform(of, lambda c, k: F.concat(F.when((k == 0) | c["rotated"], "").otherwise(" "), c["text"])), "")
+        bounds = (pick(each(of, e)).alias(e) for e, pick in edges.items())
+        return F.struct(text.alias("text"), *bounds, F.array_max(F.transform(of, lambda c: c["height"].cast("double"))).alias("height"))
+
+    made = gathered.withColumn("members", _hosted(boxes)).select(page, F.transform("members", merged).alias("made"))
+    return made.select(page, F.posexplode("made").alias("pos", "c")).select(page, "pos", "c.*")
 
 
 def sparse_pages(words: DataFrame, *, page: str = "page_id", least: int = FEW_WORDS) -> DataFrame:

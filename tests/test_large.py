@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from gaugeline.functions import warps
+from gaugeline.operators import layout
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -29,3 +30,12 @@ def test_barrel_maps_few_points_of_each_box(spark):
     boxes = spark.createDataFrame([((0.0, 0.0, 1.0, 1.0),)], f"b {BOX}")
     plan = boxes.select(warps.Barrel(0.05, 2100, 1500).bounds(F.col("b")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan
+
+
+def test_stacks_send_boxes_only_and_take_lines_without_a_box(spark):
+    """Texts stay out of the worker, whose memory failed; a line without a box stands alone."""
+    lines = [(1, k, f"w{k}", (10.0, y, 50.0, y + 10.0) if y is not None else None, 10.0 if y is not None else None, turned) for k, (y, turned) in enumerate([(0.0, False), (12.0, False), (None, False), (24.0, True), (500.0, False)])]
+    rows = spark.createDataFrame(lines, f"page_id int, run int, text string, box {BOX}, height double, rotated boolean")
+    got = layout.merge_stacks(rows)
+    assert [(r.pos, r.text, r.x0, r.y1, r.height) for r in got.orderBy("pos").collect()] == [(0, "w0 w1w3", 10.0, 34.0, 10.0), (1, "w2", None, None, None), (2, "w4", 10.0, 510.0, 10.0)]
+    assert layout._hosted.returnType.simpleString() == "array<array<int>>"
