@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import warps
 from gaugeline.operators import layout
+from gaugeline.plans import registry
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -39,3 +40,13 @@ def test_stacks_send_boxes_only_and_take_lines_without_a_box(spark):
     got = layout.merge_stacks(rows)
     assert [(r.pos, r.text, r.x0, r.y1, r.height) for r in got.orderBy("pos").collect()] == [(0, "w0 w1w3", 10.0, 34.0, 10.0), (1, "w2", None, None, None), (2, "w4", 10.0, 510.0, 10.0)]
     assert layout._hosted.returnType.simpleString() == "array<array<int>>"
+
+
+def lines_dealt(df):
+    """How often the plan deals lines out by their drawing, before any reuse."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Window [")
+
+
+def test_known_pairs_number_the_lines_once(spark):
+    for name in ("tier2_flags", "cost_breakdown", "drawing_scores", "score_by_profile", "score_by_family", "run_summary"):
+        assert lines_dealt(registry.queries()[name](spark, "/root/testdata/sf0.001")) == 1
