@@ -42,11 +42,11 @@ def test_stacks_send_boxes_only_and_take_lines_without_a_box(spark):
     assert layout._hosted.returnType.simpleString() == "array<array<int>>"
 
 
-def lines_dealt(df):
-    """How often the plan deals lines out by their drawing, before any reuse."""
-    return df._jdf.queryExecution().executedPlan().toString().count("Window [")
+def lines_numbered(df):
+    """How often the plan numbers the lines of a drawing, before any reuse."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Window [row_number()")
 
 
 def test_known_pairs_number_the_lines_once(spark):
     for name in ("tier2_flags", "cost_breakdown", "drawing_scores", "score_by_profile", "score_by_family", "run_summary"):
-        assert lines_dealt(registry.queries()[name](spark, "/root/testdata/sf0.001")) == 1
+        assert lines_numbered(registry.queries()[name](spark, "/root/testdata/sf0.001")) == 1
